@@ -11,22 +11,25 @@ from pyspark.sql import functions as F
 PIECES = 256
 
 
-def running_totals(df: DataFrame, group: str, value: str, weights: Sequence[str]) -> DataFrame:
-    """Per distinct ``value``: its weight totals, and ``<w>_before``, the total of all smaller values.
+def _position(cuts: str, value: str, df: DataFrame) -> DataFrame:
+    """``_piece`` = number of cuts below the value, by halving: eight steps for 255 cuts."""
+    df = df.withColumn("_piece", F.lit(0))
+    step = PIECES // 2
+    while step:
+        at = F.get(F.col(cuts), F.col("_piece") + (step - 1))
+        df = df.withColumn("_piece", F.col("_piece") + F.when(at < F.col(value), step).otherwise(0))
+        step //= 2
+    return df
 
-    The rows are first summed per distinct value.  Approximate percentiles of
-    the distinct values, at most ``PIECES`` numbers per group, cut them into
-    even pieces; a running sum inside a piece plus the totals of the pieces
-    before it is the exact running sum.  ``group`` must have few values by
-    design (a column name, a flag): the two small tables broadcast here have
-    one row, and ``PIECES`` rows, per group.
-    """
-    sums = df.groupBy(group, value).agg(*[F.sum(w).alias(w) for w in weights])
+
+def _sums(df: DataFrame, group: str, value: str, weights: Sequence[str]) -> DataFrame:
+    return df.groupBy(group, value).agg(*[F.sum(w).alias(w) for w in weights])
+
+
+def _running(sums: DataFrame, group: str, value: str, weights: Sequence[str]) -> DataFrame:
     probes = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
     cuts = sums.groupBy(group).agg(F.percentile_approx(value, probes, F.lit(10 * PIECES)).alias("_cuts"))
-    placed = sums.join(F.broadcast(cuts), group).withColumn(
-        "_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    placed = _position("_cuts", value, sums.join(F.broadcast(cuts), group)).drop("_cuts")
     before = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(group, "_piece").agg(*[F.sum(w).alias(w) for w in weights]).select(
         group, "_piece", *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_{w}_off") for w in weights]
@@ -40,6 +43,19 @@ def running_totals(df: DataFrame, group: str, value: str, weights: Sequence[str]
     )
 
 
+def running_totals(df: DataFrame, group: str, value: str, weights: Sequence[str]) -> DataFrame:
+    """Per distinct ``value``: its weight totals, and ``<w>_before``, the total of all smaller values.
+
+    The rows are first summed per distinct value.  Approximate percentiles of
+    the distinct values, at most ``PIECES`` numbers per group, cut them into
+    even pieces; a running sum inside a piece plus the totals of the pieces
+    before it is the exact running sum.  ``group`` must have few values by
+    design (a column name, a flag): the two small tables broadcast here have
+    one row, and ``PIECES`` rows, per group.
+    """
+    return _running(_sums(df, group, value, weights), group, value, weights)
+
+
 def exact_percentiles(
     df: DataFrame, group: str, value: str, probes: Sequence[float], weight: str | None = None
 ) -> DataFrame:
@@ -48,18 +64,19 @@ def exact_percentiles(
     With n values the percentile p sits at position p*(n-1).  Each distinct
     value covers a run of positions, so it answers the positions in its run;
     the answers are two values at most per probe.  ``weight`` counts how often
-    a row stands.
+    a row stands.  Every branch starts from the same per-value sums, which
+    Spark computes once and reuses.
     """
     counted = df.where(F.col(value).isNotNull()).select(
         group, F.col(value).cast("double").alias("value"), (F.col(weight) if weight else F.lit(1)).alias("n")
     )
-    runs = running_totals(counted, group, "value", ["n"])
-    size = counted.groupBy(group).agg(F.sum("n").alias("size"))
+    sums = _sums(counted, group, "value", ["n"])
+    size = sums.groupBy(group).agg(F.sum("n").alias("size"))
     wanted = size.select(group, F.explode(F.array(*[F.lit(float(p)) for p in probes])).alias("p"), "size").select(
         group, "p", (F.col("p") * (F.col("size") - 1)).alias("at")
     ).withColumns({"low": F.floor("at"), "high": F.ceil("at")})
     last = F.col("n_before") + F.col("n") - 1
-    answers = runs.join(F.broadcast(wanted), group).where(
+    answers = _running(sums, group, "value", ["n"]).join(F.broadcast(wanted), group).where(
         F.col("low").between(F.col("n_before"), last) | F.col("high").between(F.col("n_before"), last)
     )
     return answers.groupBy(group, "p", "at", "low").agg(F.min("value").alias("v0"), F.max("value").alias("v1")).select(

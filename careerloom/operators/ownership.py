@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from careerloom.functions import fixed_values as fx
 from careerloom.functions.text import has, starts
-from careerloom.operators.relational import enrich, flag_in_keys, keep_columns, not_in, not_in_keys, share
+from careerloom.operators.relational import (
+    enrich,
+    flag_in_keys,
+    in_keys,
+    keep_columns,
+    measure_skew,
+    not_in,
+    not_in_keys,
+    share,
+)
 from careerloom.operators.titles import broad_founder_flag, event_names
 
 
@@ -24,7 +33,6 @@ def company_ownership(exp: DataFrame, drop_self_names: bool = False) -> DataFram
         .agg(
             F.max("is_founder_only").alias("f"),
             F.max("is_owner_only").alias("o"),
-            F.count("*").alias("n"),
         )
     )
     if drop_self_names:
@@ -34,7 +42,6 @@ def company_ownership(exp: DataFrame, drop_self_names: bool = False) -> DataFram
         F.count_if(known & F.col("f")).alias("num_unique_founders"),
         F.count_if(known & F.col("o")).alias("num_unique_owners"),
         F.count_if(known).alias("num_unique_founders_or_owners"),
-        F.sum("n").alias("n"),
     )
     return out.withColumn(
         "share_founders_vs_owners", share(F.col("num_unique_founders"), F.col("num_unique_founders_or_owners"))
@@ -64,7 +71,7 @@ def franchise_flags(exp: DataFrame, drop_self_names: bool = False) -> DataFrame:
         found.select(F.col("company_name").alias("_key")),
         "_key",
         "_franchise",
-        counts=found.select(F.col("company_name").alias("_key"), "n"),
+        measure_skew(exp, "company_name", nulls=True),
     )
     return out.withColumns({
         "franchise_founder_or_owner": F.col("_franchise") & F.col("is_founder_or_owner"),
@@ -80,7 +87,6 @@ def cofounder_urls(exp: DataFrame) -> DataFrame:
         .agg(
             F.count_if("is_founder_only").alias("founders"),
             F.count_if("is_owner_only").alias("owners"),
-            F.count("*").alias("n"),
         )
         .where((F.col("founders") + F.col("owners")).between(*fx.COFOUNDER_RANGE))
     )
@@ -95,7 +101,7 @@ def cofounder_flags(exp: DataFrame) -> DataFrame:
         urls.select(F.col("company_url").alias("_key")),
         "_key",
         "cofound_coown_same_url",
-        counts=urls.select(F.col("company_url").alias("_key"), "n"),
+        measure_skew(exp, "company_url", nulls=True),
     )
     return out.drop("_key")
 
@@ -115,10 +121,9 @@ def employee_before_founder_filter(exp: DataFrame) -> DataFrame:
         .agg(
             F.min("job_from").alias("flt_company_employee_start_year"),
             F.min("founder_job_from").alias("flt_company_founder_start_year"),
-            F.count("*").alias("n"),
         )
     )
-    out = enrich(out, starts_by_name.drop("n"), "company_name", counts=starts_by_name.select("company_name", "n"))
+    out = enrich(out, starts_by_name, "company_name")
     earlier = F.col("flt_company_employee_start_year") < F.col("flt_company_founder_start_year")
     out = out.withColumn("flt_employee_before_founder", F.coalesce(earlier, F.lit(False)))
     return out.withColumns({
@@ -128,9 +133,8 @@ def employee_before_founder_filter(exp: DataFrame) -> DataFrame:
 
 
 def _people_per(df: DataFrame, key: str, member: str, name: str) -> DataFrame:
-    """Distinct members and rows per key, reduced to one row per (key, member) first."""
-    pairs = df.where(F.col(key).isNotNull()).groupBy(key, member).agg(F.count("*").alias("n"))
-    return pairs.groupBy(key).agg(F.count(member).alias(name), F.sum("n").alias("n"))
+    """Distinct members per key, reduced to one row per (key, member) first."""
+    return df.where(F.col(key).isNotNull()).select(key, member).distinct().groupBy(key).agg(F.count(member).alias(name))
 
 
 def cofounder_events(panel: DataFrame, flag: str = "is_founder_or_owner_5_years_o") -> DataFrame:
@@ -138,16 +142,23 @@ def cofounder_events(panel: DataFrame, flag: str = "is_founder_or_owner_5_years_
     founders = panel.where(F.col("company_url").isNotNull() & F.col(flag))
     people = _people_per(founders, "company_url", "member_id", "number_of_founders")
     chosen = people.where(F.col("number_of_founders").between(*fx.COFOUNDER_RANGE))
-    # rows of one URL here are bounded by neither 10 nor 2: a member may repeat,
-    # so the lookup is the salted one.
-    events = enrich(founders, chosen.select("company_url"), "company_url", chosen.select("company_url", "n"), "inner")
+    events = in_keys(founders, chosen, "company_url")
     return keep_columns(event_names(events), fx.EVENT_COLUMNS).distinct()
 
 
 def with_people_at_url(founders: DataFrame) -> DataFrame:
-    """Distinct members at the URL as a column of each row."""
-    people = _people_per(founders, "company_url", "member_id", "unique_member_count")
-    return enrich(founders, people.drop("n"), "company_url", people.select("company_url", "n"), "inner")
+    """Distinct members at the URL, and the first start year there, as columns of each row.
+
+    Rows are reduced to one per (URL, member) first; both columns come from
+    that one table, so the rows are looked up once.
+    """
+    per_member = founders.where(F.col("company_url").isNotNull()).groupBy("company_url", "member_id").agg(
+        F.min("job_from").alias("job_from")
+    )
+    per_url = per_member.groupBy("company_url").agg(
+        F.count("member_id").alias("unique_member_count"), F.min("job_from").alias("first_year_cofound")
+    )
+    return enrich(founders, per_url, "company_url", "inner")
 
 
 def cofounder_events_strict(panel: DataFrame, parity: bool = False) -> DataFrame:
@@ -158,8 +169,6 @@ def cofounder_events_strict(panel: DataFrame, parity: bool = False) -> DataFrame
     """
     founders = with_people_at_url(panel.where(F.col("is_founder_or_owner_with_url")))
     events = founders.where(F.col("unique_member_count").between(*fx.STRICT_COFOUNDER_RANGE))
-    per_url = events.groupBy("company_url").agg(F.min("job_from").alias("first_year_cofound"), F.count("*").alias("n"))
-    events = enrich(events, per_url.drop("n"), "company_url", per_url.select("company_url", "n"), "inner")
     repeated = _people_per(events, "company_name", "member_id", "people").where(
         F.col("people") > fx.REPETITIVE_NAME_FOUNDERS
     )

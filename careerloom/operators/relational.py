@@ -6,8 +6,8 @@ landing in one task:
 * grouping goes through aggregates with a map-side partial step;
 * keep-first uses ``row_number() <= k``, which Spark limits on the map side
   (``WindowGroupLimit``) so a hot key sends at most k rows per task;
-* looking up one row per key (``enrich``) spreads the hot keys, and the rows
-  with no key at all, over many tasks.
+* looking up one row per key (``enrich``) first measures the key column, and
+  cuts the rows of hot keys, and the rows with no key, into pieces.
 
 No join is forced to broadcast except against tables with a row bound built
 into the plan; Spark's own size check decides for the others.
@@ -15,7 +15,9 @@ into the plan; Spark's own size check decides for the others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -23,11 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-#: At most 64 keys can each hold more than 1/64 of the rows, so the 64 most
-#: frequent keys contain every key hot enough to matter.
-HOT_KEYS = 64
-#: Pieces a hot key is cut into.
-SALTS = 128
+#: A key with more than this share of the rows is hot.
+HOT_SHARE = 1 / 256
+#: Keys the frequency sketch reports, and counters it keeps: with 8192 counters
+#: its error is below a tenth of a percent of the rows, so no hot key escapes.
+SKETCH_KEYS, SKETCH_COUNTERS = 256, 8192
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -96,51 +98,65 @@ def prefix_shared(df: DataFrame, other: DataFrame, keys: Sequence[str], suffix:
     return df.withColumnsRenamed({c: c + suffix for c in clash})
 
 
-def hot_keys(df: DataFrame, on: str, counts: DataFrame | None = None) -> DataFrame:
-    """The most frequent keys, at most ``HOT_KEYS`` rows by construction.
+@dataclass(frozen=True)
+class Skew:
+    """Hot values of a key column, and the number of pieces to cut their rows into (at least 1)."""
 
-    The counts are exact and ties go by key: both sides of a lookup must see
-    the same set.  Only the key column is read for them; ``counts(on, n)`` may
-    be handed in when an aggregate has them already.
-    """
-    counts = counts if counts is not None else df.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), F.asc(on)).limit(HOT_KEYS).select(on)
-
-
-def enrich(
-    df: DataFrame,
-    dim: DataFrame,
-    on: str,
-    counts: DataFrame | None = None,
-    how: str = "left",
-) -> DataFrame:
-    """Add the columns of ``dim`` (one row per key) to every row of ``df``.
-
-    The rows of a hot key, and those without a key, are cut into ``SALTS``
-    pieces by input partition, which is the same on a task retry; the few hot
-    rows of ``dim`` are repeated once per piece.
-    """
-    hot = F.broadcast(hot_keys(df, on, counts).withColumn("_hot", F.lit(True)))
-    piece = F.pmod(F.spark_partition_id(), F.lit(SALTS))
-    left = df.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col(on).isNull(), piece).otherwise(F.lit(0))
-    ).drop("_hot")
-    right = (
-        dim.where(F.col(on).isNotNull())
-        .join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
-    )
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    values: tuple = ()
+    pieces: int = 1
+
+    @property
+    def found(self) -> bool:
+        return self.pieces > 1
 
 
-def flag_in_keys(df: DataFrame, keys: DataFrame, on: str, flag: str, counts: DataFrame | None = None) -> DataFrame:
+def measure_skew(df: DataFrame, on: str, nulls: bool = False) -> Skew:
+    """One pass over the key column: a mergeable frequency sketch and two counts.
+
+    Nothing is shuffled by key and the driver gets at most ``SKETCH_KEYS``
+    values.  Rows without a key count as one more key; ``nulls`` says that
+    there will be many of them.
+    """
+    row = df.agg(
+        F.count("*").alias("n"),
+        F.count(on).alias("known"),
+        F.expr(f"approx_top_k(`{on}`, {SKETCH_KEYS}, {SKETCH_COUNTERS})").alias("top"),
+    ).first()
+    limit = row.n * HOT_SHARE
+    hot = [(t["item"], t["count"]) for t in row.top if t["item"] is not None and t["count"] > limit]
+    shares = [n / row.n for _, n in hot]
+    if row.n - row.known > limit:
+        shares.append((row.n - row.known) / row.n)
+    if nulls:
+        shares.append(1.0)
+    if not shares:
+        return Skew()
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Skew(tuple(v for v, _ in hot), min(4096, max(2, math.ceil(max(shares) * width))))
+
+
+def enrich(df: DataFrame, dim: DataFrame, on: str, how: str = "left", skew: Skew | None = None) -> DataFrame:
+    """Add the columns of ``dim`` to every row of ``df`` by key.
+
+    Without skew this is the plain join.  Otherwise the rows of hot keys and
+    the rows without a key carry a piece number taken from the input
+    partition, which a retried task gives again, and the hot rows of ``dim``
+    are repeated once per piece.
+    """
+    skew = skew if skew is not None else measure_skew(df, on)
+    dim = dim.where(F.col(on).isNotNull())
+    if not skew.found:
+        return df.join(dim, on, how)
+    hot = F.col(on).isin(*skew.values) if skew.values else F.lit(False)
+    piece = F.pmod(F.spark_partition_id(), F.lit(skew.pieces))
+    left = df.withColumn("_piece", F.when(F.col(on).isNull() | hot, piece).otherwise(F.lit(0)))
+    every = F.when(hot, F.sequence(F.lit(0), F.lit(skew.pieces - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(dim.withColumn("_piece", F.explode(every)), [on, "_piece"], how).drop("_piece")
+
+
+def flag_in_keys(df: DataFrame, keys: DataFrame, on: str, flag: str, skew: Skew | None = None) -> DataFrame:
     """Membership as a column instead of a filter (J6); null keys are False."""
-    k = keys.select(on).distinct().withColumn(flag, F.lit(True))
-    out = enrich(df, k, on, counts)
+    out = enrich(df, keys.select(on).distinct().withColumn(flag, F.lit(True)), on, skew=skew)
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 

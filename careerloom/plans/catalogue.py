@@ -22,7 +22,7 @@ from careerloom.operators import (
 )
 from careerloom.plans import stages
 from careerloom.plans.fixtures import GENERIC_SUFFIX, HOST, load
-from careerloom.session import scratch_path
+from careerloom.session import scratch_path, stored
 from careerloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ def scored(spark, sf):
 def career_jobs(spark, sf):
     """The spine: cleaned degrees, restricted and flagged jobs with founding years, joined and windowed."""
     edu = clean_edu(spark, sf)
-    exp = panel.restrict_experience(experience(spark, sf), edu)
+    exp = stored(panel.restrict_experience(experience(spark, sf), edu), "base-experience")
     exp = companies.founding_year(titles.founder_owner_flags(titles.dated(exp)), load(spark, sf, "companies"), HOST)
     return panel.job_level(exp, edu)
 
@@ -140,7 +140,7 @@ def founder_events_raw(spark, sf):
 @query
 def franchise_ownership(spark, sf):
     """C12 A1 A13 J12 X5 F8"""
-    return rounded(ownership.company_ownership(chains(spark, sf)).drop("n"))
+    return rounded(ownership.company_ownership(chains(spark, sf)))
 
 
 @query
@@ -347,13 +347,13 @@ def major_summary(spark, sf):
 @query
 def cofounder_events(spark, sf):
     """C30 W1 A1"""
-    return ownership.cofounder_events(career_jobs(spark, sf))
+    return ownership.cofounder_events(stored(career_jobs(spark, sf), "jobs"))
 
 
 @query
 def cofounder_strict(spark, sf):
     """C31 W8 W9 J7"""
-    return ownership.cofounder_events_strict(career_jobs(spark, sf)).select(
+    return ownership.cofounder_events_strict(stored(career_jobs(spark, sf), "jobs")).select(
         "linkedin_member_id", "id_experience", "company_name", "company_url", "unique_member_count",
         "first_year_cofound", "job_from",
     )
@@ -384,7 +384,7 @@ def gender_probability(spark, sf):
 def verification_sample(spark, sf):
     """C51 J2 T6 U1"""
     jobs = career_jobs(spark, sf)
-    person = education.categorise_major(education.clean_major(panel.collapse_to_person(jobs)))
+    person = stored(education.categorise_major(education.clean_major(panel.collapse_to_person(jobs))), "person")
     exp = panel.restrict_experience(experience(spark, sf), clean_edu(spark, sf))
     sample = panel.verification_sample(titles.founder_owner_flags(titles.dated(exp)), person, n=100)
     return sample.select("id", "title", "linkedin_member_id", "university_title", "university_major_clean",
@@ -507,7 +507,7 @@ def top_institutions(spark, sf):
 # --- entities ---------------------------------------------------------------
 
 def _matched(spark, sf):
-    ent = load(spark, sf, "entities")
+    ent = load(spark, sf, "entities_more")
     return entities.match_normalised_names(experience(spark, sf), ent), ent
 
 
@@ -712,8 +712,8 @@ def _vector_names(spark, sf):
 def classifier(spark, sf):
     """M3 M4 M5 M6 M7 M8"""
     vectors, labels = _vector_names(spark, sf)
-    train = embedding.train_xy(labels.where("vec_id % 5 <> 0"), vectors, "y")
-    test = embedding.train_xy(labels.where("vec_id % 5 = 0"), vectors, "y")
+    train = stored(embedding.train_xy(labels.where("vec_id % 5 <> 0"), vectors, "y"), "train")
+    test = stored(embedding.train_xy(labels.where("vec_id % 5 = 0"), vectors, "y"), "test")
     plain, scaled = embedding.fit_classifier(train), embedding.fit_classifier(train, standardise=True)
     mean, sd = embedding.cross_validated_auc(train)
     out = [

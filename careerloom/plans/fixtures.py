@@ -63,6 +63,10 @@ VIEWS = {
   CASE s_suppkey % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' Corp' ELSE '' END) AS entity_name
   FROM {supplier} WHERE s_suppkey % 40 < 30 GROUP BY 1
   UNION ALL SELECT 'The Co.' AS entity_name""",
+    "entities_more": """SELECT entity_name FROM {entities}
+  UNION SELECT concat('Firm ', CAST(s_suppkey % 7 AS VARCHAR(10)), ' ',
+  split_part('Inc,Ltd,LLC,PLC,LP,LLP,GmbH,AG,SA,BV,NV,Oy,Pty', ',', CAST(1 + s_suppkey % 13 AS INT))) AS entity_name
+  FROM {supplier}""",
     "profiles": """SELECT c_custkey AS id,
   CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(c_custkey % 101 AS DOUBLE) / 100 END AS prob_female
   FROM {customer}

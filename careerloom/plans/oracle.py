@@ -435,7 +435,7 @@ def normal(c: str) -> str:
 
 
 ENT = dict(
-    n=f"SELECT *, {normal('entity_name')} AS norm FROM entities",
+    n=f"SELECT *, {normal('entity_name')} AS norm FROM entities_more",
     look="SELECT norm, min(entity_name) AS entity_name_matched FROM n WHERE norm IS NOT NULL GROUP BY 1",
     m=f"""SELECT e.*, entity_name_matched FROM (SELECT *, {normal('company_name')} AS company_name_norm FROM experience) e
       LEFT JOIN look ON company_name_norm = norm""",
@@ -445,7 +445,7 @@ ENT = dict(
         WHEN entity_name_matched IS NOT NULL THEN 'matched_via_normalization_rules'
         WHEN company_name_norm IS NULL THEN 'unmatched_empty_normalized_name' ELSE 'unmatched_nonempty_normalized_name' END AS match_type FROM m""",
 )
-EV = "experience entities"
+EV = "experience entities_more"
 add("name_match", EV, "SELECT id, title, company_name, company_name_norm, entity_name_matched FROM m", **ENT)
 add("name_match_rate", EV, """
 SELECT count(*) AS n_rows, count(entity_name_matched) AS n_matched, round(count(entity_name_matched) / count(*)::DOUBLE, 6) AS match_rate FROM m""", **ENT)
