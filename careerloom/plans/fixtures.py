@@ -74,6 +74,9 @@ VIEWS = {
   FROM {customer} WHERE c_custkey < 20""",
 }
 
+#: Tables whose rows only decorate others.
+SMALL = ("region", "nation", "supplier", "part", "customer", "orders", "labels", "benchmark")
+
 #: Host and generic school URL of the fixture views.
 HOST = "example.com"
 GENERIC_SUFFIX = "example.com/edu/school"
@@ -84,10 +87,22 @@ def parts_of(name: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", VIEWS[name])))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table.
+
+    Big inputs come in more splits than there are cores and are left alone.  A
+    file of one row group would be worked on by one task up to the first
+    shuffle, so it is dealt out to all cores.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if name in SMALL or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view or a driver table."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table(spark, sf_dir, name)
     return spark.sql(VIEWS[name], **{p: load(spark, sf_dir, p) for p in parts_of(name)})
 
 
