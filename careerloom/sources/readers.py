@@ -33,8 +33,9 @@ def malformed_csv_lines(spark: SparkSession, path: str | list[str], schema: Stru
         path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", quote='"', escape='"',
         ignoreLeadingWhiteSpace=True, encoding="UTF-8",
     )
-    # a row that keeps every column: Spark refuses to read the corrupt column on its own
-    return read.where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"), F.struct(*schema.names).alias("parsed"))
+    # a line is only known to be broken once all its columns are parsed, so the filter must need them all
+    parsed = F.to_json(F.struct(*schema.names)).isNotNull()
+    return read.where(F.col("_bad").isNotNull() & parsed).select(F.col("_bad").alias("line"))
 
 
 def inferred_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
