@@ -521,18 +521,19 @@ SELECT k, CASE WHEN rn <= 100 THEN 'train' ELSE 'test' END AS part FROM (
 
 _TOKENS = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word FROM documents"
 add("name_embedding", "", """
-SELECT d.doc_id, pos, round(coalesce(total / k, 0), 6) AS value
-FROM (SELECT doc_id, unnest(range(64))::INT AS pos FROM documents WHERE text IS NOT NULL) d
+SELECT doc_id, pos, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS value  -- no negative zero
+FROM (SELECT d.doc_id, pos, round(coalesce(total / k, 0), 6) AS v FROM (SELECT doc_id, unnest(range(64))::INT AS pos FROM documents WHERE text IS NOT NULL) d
 LEFT JOIN (SELECT doc_id, i::INT AS pos, sum(n * x) AS total, sum(n) AS k FROM (
     SELECT doc_id, n, unnest(vec)::DOUBLE AS x, unnest(range(64)) AS i FROM (SELECT doc_id, word, count(*) AS n FROM t GROUP BY ALL) JOIN v USING (word))
-  GROUP BY ALL) s USING (doc_id, pos)""",
+  GROUP BY ALL) s USING (doc_id, pos))""",
     t=_TOKENS,
     v="""SELECT word, embedding AS vec FROM (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS vec_id FROM t GROUP BY word
       ORDER BY count(*) DESC, word LIMIT 500) JOIN embeddings USING (vec_id)""")
 add("normalised_embedding", "", """
-SELECT vec_id, pos, round(CASE WHEN len = 0 THEN x ELSE x / len END, 6) AS value FROM (
+SELECT vec_id, pos, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS value FROM (
+  SELECT vec_id, pos, round(CASE WHEN len = 0 THEN x ELSE x / len END, 6) AS v FROM (
   SELECT vec_id, unnest(range(64))::INT AS pos, unnest(embedding)::DOUBLE AS x,
-    sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS len FROM embeddings)""")
+    sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS len FROM embeddings))""")
 add("holdout_names", "", """
 SELECT 'name ' || vec_id AS company_name FROM embeddings WHERE NOT (vec_id % 3 = 0 AND vec_id % 7 <> 0)
 ORDER BY md5('42:' || 'name ' || vec_id) LIMIT 50""")
@@ -601,7 +602,7 @@ SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round
   max({c})::DOUBLE AS max, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75 FROM lineitem"""
     for c in _NUM))
 add("profile_extras", "", " UNION ALL ".join(f"""
-SELECT '{c}' AS "column", round(var_samp({c}), 6) AS variance, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis,
+SELECT '{c}' AS "column", round(var_samp({c}), 2) AS variance, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis,
   round(median({c}), 6) AS median, (SELECT {c}::DOUBLE FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode FROM lineitem"""
     for c in _NUM))
 _TXT = ["title", "company_name", "company_url", "date_from", "date_to"]
