@@ -98,7 +98,11 @@ def fuzzy_match(
         ).select("tags_str", "clean_name", "_first.*")
         return keep_first(first.join(best, ["tags_str", "clean_name"]), "clean_name", order)
     if per == "school_url":
-        return keep_first(named.join(best, ["tags_str", "clean_name"]), "school_url", order)
+        # a common name may stand under very many URLs; neither part holds a line break
+        name = F.concat_ws("\n", "tags_str", "clean_name").alias("_name")
+        answers = best.select(name, *[c for c in best.columns if c not in ("tags_str", "clean_name")])
+        scored = enrich(named.select("*", name), answers, "_name", how="inner").drop("_name")
+        return keep_first(scored, "school_url", order)
     raise ValueError("per is 'clean_name' or 'school_url'")
 
 

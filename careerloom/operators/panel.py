@@ -112,7 +112,7 @@ def add_gender_probability(person: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def verification_sample(exp: DataFrame, person: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:
     """n with-URL founder rows and n other rows beside their panel row, for human review."""
-    joined = exp.join(person, exp["member_id"] == person["linkedin_member_id"])
+    joined = enrich(exp, person.withColumn("member_id", F.col("linkedin_member_id")), "member_id", how="inner")
     majors = [c for c in person.columns if "major" in c and c != "university_major_raw"]
     cols = ["id", "title", "company_name", "company_url", "linkedin_member_id", "university_title",
             "university_major_raw", "is_founder_or_owner_with_url", *majors]

@@ -6,8 +6,9 @@ landing in one task:
 * grouping goes through aggregates with a map-side partial step;
 * keep-first uses ``row_number() <= k``, which Spark limits on the map side
   (``WindowGroupLimit``) so a hot key sends at most k rows per task;
-* looking up one row per key (``enrich``) first measures the key column, and
-  cuts the rows of hot keys, and the rows with no key, into pieces.
+* looking up one row per key (``enrich``) first measures the key column, unless
+  Spark will broadcast the lookup table by its size, and cuts the rows of hot
+  keys, and the rows with no key, into pieces.
 
 No join is forced to broadcast except against tables with a row bound built
 into the plan; Spark's own size check decides for the others.
@@ -135,16 +136,25 @@ def measure_skew(df: DataFrame, on: str, nulls: bool = False) -> Skew:
     return Skew(tuple(v for v, _ in hot), min(4096, max(2, math.ceil(max(shares) * width))))
 
 
+def broadcast_by_size(df: DataFrame) -> bool:
+    """Whether Spark's own estimate puts the table under its broadcast limit."""
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def enrich(df: DataFrame, dim: DataFrame, on: str, how: str = "left", skew: Skew | None = None) -> DataFrame:
     """Add the columns of ``dim`` to every row of ``df`` by key.
 
-    Without skew this is the plain join.  Otherwise the rows of hot keys and
+    When Spark is going to broadcast ``dim`` by its size, or the key is not
+    skewed, this is the plain join.  Otherwise the rows of hot keys and
     the rows without a key carry a piece number taken from the input
     partition, which a retried task gives again, and the hot rows of ``dim``
     are repeated once per piece.
     """
-    skew = skew if skew is not None else measure_skew(df, on)
     dim = dim.where(F.col(on).isNotNull())
+    if skew is None:
+        skew = Skew() if broadcast_by_size(dim) else measure_skew(df, on)
     if not skew.found:
         return df.join(dim, on, how)
     hot = F.col(on).isin(*skew.values) if skew.values else F.lit(False)
