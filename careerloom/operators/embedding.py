@@ -23,26 +23,22 @@ def embed_names(names: DataFrame, vocab: DataFrame, name: str, size: int, key: s
 
     ``vocab`` has ``word`` and ``vec`` of ``size`` numbers.  Words are matched
     as written.  The vectors are added up by a map-side combined aggregate, and
-    the lookup spreads very common words.  ``key`` is a unique id to carry in
-    place of a long text.
+    the lookup spreads very common words.  One row without a word per name
+    keeps the names of unknown words alive, so unknown words themselves need
+    not be carried on.  ``key`` is a unique id to carry in place of a long text.
     """
     rows = names.where(F.col(name).isNotNull())
     rows = rows.select(key, name) if key else rows.select(name).distinct()
     key = key or name
-    words = (
-        rows.select(key, F.explode_outer(tokens(name)).alias("word"))
-        .groupBy(key, "word")
-        .agg(F.count("*").alias("n"))
-    )
-    found = enrich(words, vocab.select("word", "vec"), "word")
+    with_blank = F.concat(tokens(name), F.array(F.lit(None).cast("string")))
+    words = rows.select(key, F.explode(with_blank).alias("word"))
     known = F.col("vec").isNotNull()
-    vec = F.when(known, F.transform("vec", lambda x: x.cast("double") * F.col("n"))).otherwise(
-        F.array_repeat(F.lit(0.0), size)
-    )
+    found = enrich(words, vocab.select("word", "vec"), "word").where(known | F.col("word").isNull())
+    vec = F.when(known, F.col("vec").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), size))
     summed = (
-        found.select(key, array_to_vector(vec).alias("v"), F.when(known, F.col("n")).alias("k"))
+        found.select(key, array_to_vector(vec).alias("v"), known.cast("int").alias("k"))
         .groupBy(key)
-        .agg(Summarizer.sum(F.col("v")).alias("s"), F.coalesce(F.sum("k"), F.lit(1)).alias("k"))
+        .agg(Summarizer.sum(F.col("v")).alias("s"), F.greatest(F.sum("k"), F.lit(1)).alias("k"))
     )
     return summed.select(key, F.transform(vector_to_array("s"), lambda x: x / F.col("k")).alias("embedding"))
 

@@ -598,7 +598,7 @@ add("profile_missing", "experience", " UNION ALL ".join(
     for c in _ALL_EXP))
 _NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 add("profile_numeric", "", " UNION ALL ".join(f"""
-SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min,
+SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 8) AS mean, round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min,
   max({c})::DOUBLE AS max, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75 FROM lineitem"""
     for c in _NUM))
 add("profile_extras", "", " UNION ALL ".join(f"""
