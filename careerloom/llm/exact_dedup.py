@@ -1,9 +1,9 @@
 """Exact dedup by content-defined chunk recipes, with DataFrame functions only.
 
 A text, without its blanks, is cut into chunks where its own characters say so, and its recipe is the ordered list of
-chunk names. Recipes are short, so all documents are compared by them. Only the texts whose recipe occurs twice move,
-once, cut into chunks; a chunk name that stands for two contents marks its documents, which then compare by the digest
-of the whole text as well.
+chunk names. Documents are compared by their recipes, so no text moves, however long it is. The names are verified:
+over all documents whose recipe occurs twice, a name must always go with one SHA-256 digest of the chunk. Documents
+with a name that does not compare by the digest of the whole text as well.
 
 Null text counts as empty; empty and blank texts are equal to each other. Repeated rows are separate rows with the same
 id. Null ids sort before others. Extra columns are not read.
@@ -37,18 +37,20 @@ def chunks(text: Column, smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK) ->
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, text_sha256, recipe) per row; recipe: (length, name) of each chunk, in order."""
+    """(doc_id, n_chars, text_sha256, recipe) per row; recipe: (length, name, digest) of each chunk, in order."""
     norm = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), normalised().alias("_norm"))
-    named = F.transform(chunks(F.col("_norm")), lambda c: F.struct(F.octet_length(c).alias("n"), F.xxhash64(c).alias("name")))
+    named = F.transform(
+        chunks(F.col("_norm")),
+        lambda c: F.struct(F.octet_length(c).alias("n"), F.xxhash64(c).alias("name"), F.unhex(F.sha2(c.cast("binary"), 256)).alias("digest")),
+    )
     return norm.select("doc_id", "n_chars", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), named.alias("recipe"))
 
 
-def duplicate_names(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Chunk names (n, name) that stand for more than one content, among the documents that ``candidates`` lists."""
-    texts = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    pieces = texts.select(F.explode(chunks(normalised())).alias("chunk"))
-    contents = pieces.select(F.octet_length("chunk").alias("n"), F.xxhash64("chunk").alias("name"), "chunk").distinct()
-    return contents.groupBy("n", "name").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("n", "name")
+def unverified_names(candidates: DataFrame) -> DataFrame:
+    """Chunk names (n, name) that go with more than one digest."""
+    pieces = candidates.select(F.inline("recipe"))
+    digests = pieces.groupBy("n", "name").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    return digests.where("lo <> hi").select("n", "name")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -58,10 +60,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     same id and text are told apart by their count only, so all rows that carry the kept id and length count as kept.
     """
     made = recipes(docs)
-    made = stored(made.withColumn("recipe_key", F.sha2(F.to_json("recipe").cast("binary"), 256)), "recipes")
+    names = F.transform("recipe", lambda c: F.concat_ws(":", c["n"].cast("string"), c["name"].cast("string")))
+    made = stored(made.withColumn("recipe_key", F.sha2(F.array_join(names, " ").cast("binary"), 256)), "recipes")
     repeated = made.groupBy("recipe_key").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").select("recipe_key")
     candidates = stored(made.join(repeated, "recipe_key", "left_semi"), "candidates")
-    clashes = stored(duplicate_names(docs, candidates), "clashes")
+    clashes = stored(unverified_names(candidates), "clashes")
     marked = (
         candidates.select("recipe_key", F.explode("recipe").alias("c")).select("recipe_key", F.col("c.n").alias("n"), F.col("c.name").alias("name"))
         .join(clashes, ["n", "name"], "left_semi").select("recipe_key").distinct().withColumn("clash", F.lit(True))
