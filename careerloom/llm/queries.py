@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careerloom.llm import bpe, exact_dedup, jaccard, mixing, quality
+from careerloom.llm import bpe, exact_dedup, jaccard, mixing, quality, recompression
 from careerloom.llm.common import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_recompression": op3_recompression,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_jaccard_join": op8_jaccard_join,
