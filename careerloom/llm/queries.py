@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careerloom.llm import bpe, exact_dedup, jaccard, mixing, quality, recompression, suffix_dedup
+from careerloom.llm import bpe, exact_dedup, jaccard, language, mixing, nn_descent, quality, recompression, suffix_dedup
 from careerloom.llm.common import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,10 +18,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted_languages(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "languages", "shares")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nn_descent": op1_nn_descent,
     "op3_recompression": op3_recompression,
+    "op4_language_mixture": op4_language_mixture,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bpe": op7_bpe,

@@ -10,8 +10,8 @@ at k bytes, is read off its neighbours: among equal prefixes suffix order is tex
 position is the one before and the next the one after. Cores with very many kinds are compared start by start by a
 Spark aggregate instead, so no task holds an unbounded group.
 
-Null text counts as empty. Rows that repeat an id are one document with the same bytes: repeated rows alone do not make
-a string repeat only if the id is null or shared, where they count as further text. Extra columns are not read.
+Null text counts as empty. Each row is a text of its own, also where ids repeat, so a repeated row repeats all strings of
+the first. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ WINDOW, GRAM, RANGES = 400, 16, 4
 #: Kinds of one core that a task sorts; cores with more are compared start by start.
 MOST_KINDS = 2048
 #: Bytes that a task brings into suffix order at a time.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 20
 
 
 def prefix_sums(flat: np.ndarray, which: int = 0) -> np.ndarray:
