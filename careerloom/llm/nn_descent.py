@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from careerloom.llm.common import stored
 
 #: Neighbours kept per node, trees and block size of the start, neighbours introduced per kind, rounds at most.
-NEIGHBOURS, TREES, BLOCK, INTRODUCED, MOST_ROUNDS = 24, 8, 192, 12, 4
+NEIGHBOURS, TREES, BLOCK, INTRODUCED, MOST_ROUNDS = 32, 8, 192, 16, 6
 #: Rounds end when fewer than this share of all neighbours changed.
 STILL = 0.01
 #: Beam of a search, and nodes of the graph that searches start from.
-BEAM, ENTRIES, MOST_STEPS = 48, 128, 10
+BEAM, ENTRIES, MOST_STEPS = 240, 128, 12
 
 
 def usable(rows: DataFrame, id_name: str = "vec_id", vector: str = "embedding") -> DataFrame:

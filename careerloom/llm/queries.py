@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careerloom.llm import bpe, exact_dedup, jaccard, language, mixing, nn_descent, quality, recompression, suffix_dedup
+from careerloom.llm import bpe, exact_dedup, jaccard, language, mixing, nn_descent, pseudonyms, quality, recompression, suffix_dedup
 from careerloom.llm.common import read
 
+#: Key of the pseudonyms in the registered query; a deployment passes its own secret.
+PSEUDONYM_KEY = "example key, not a secret"
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -22,6 +24,10 @@ def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.neighbours(read(spark, sf_dir, "embeddings"))
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(read(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -56,6 +62,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": op1_nn_descent,
+    "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op3_recompression": op3_recompression,
     "op4_language_mixture": op4_language_mixture,
     "op5_exact_dedup": op5_exact_dedup,
