@@ -96,14 +96,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each whole copy taken, and one with the leading words where the cut fell.
 
     Columns stay those of ``docs``; rows of which nothing is taken go. A document cut in the first epoch keeps only
-    the words before the cut. ``n_chars``, where there is one, follows the text.
+    the words before the cut, joined by single blanks. ``n_chars``, where there is one, follows the text.
     """
     taken = mix(docs, **options).groupBy("doc_id", "size").agg(F.max("taken").alias("_taken"))
     sized = docs.withColumn("_size", words_text())
     joined = sized.join(taken.withColumnsRenamed({"doc_id": "_id", "size": "_of"}), (F.col("doc_id") == F.col("_id")) & (F.col("_size") == F.col("_of")))
     part = F.pmod(F.col("_taken"), F.col("_size"))
     copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    head = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^[ \t-\r]*(?:[^ \t-\r]+[ \t-\r]*){0,"), part.cast("string"), F.lit("}")), 0)
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), F.lit(0)), F.lit(1), part.cast("int")), " ")
     pieces = F.concat(F.array_repeat(F.col("text"), copies), F.when(part > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
     out = joined.where("_taken > 0").withColumn("text", F.explode(pieces))
     if "n_chars" in docs.columns:
