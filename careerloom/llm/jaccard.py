@@ -8,7 +8,8 @@ least ``slack`` prefix tokens. Index lists are skipped in three steps, none of w
 * lists: of the rest, the rarest prefix tokens are indexed, in lists by token and size block; two entries of a list
   only meet where size and position leave room for the overlap;
 * answers: equal sets are one set. Every set is first compared with the one it shares most lists with; sets linked so
-  take over each other's answers, and only pairs that are not yet connected are compared after that.
+  take over each other's answers. Only lists that are not connected by that are compared further, head by head, in
+  blocks of sets.
 
 Null and blank texts have no set, link with nothing and are their own component. Rows that repeat an id count as one
 document with equal sets. Extra columns are not read.
@@ -32,6 +33,8 @@ from careerloom.llm.components import connected
 NEAR = {"words": 5, "share": Fraction(80, 100)}
 #: Prefix tokens that linked sets share at least, as a share of the set.
 SLACK = Fraction(5, 100)
+#: Sets of one head that a task compares with as many others.
+BLOCK = 400
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -130,54 +133,106 @@ def _room(share: Fraction) -> str:
     return need + "(least(x_at, y_at) + 1 + least(x_n - x_at, y_n - y_at) - 1)"
 
 
-def _named(lists: DataFrame, side: str, *more: str) -> DataFrame:
-    return lists.select("token", "block", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *more)])
+def _named(lists: DataFrame, side: str) -> DataFrame:
+    return lists.select("token", "block", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at")])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets do link."""
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    joined = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return joined.where(share.denominator * common >= share.numerator * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def links_of_block(ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of different parts, one for each two parts that have any. ``tokens`` holds all sets in turn."""
+    known, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    several = np.flatnonzero(times > 1)
+    place = np.full(len(known), -1)
+    place[several] = np.arange(len(several))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(ids), len(ids)), np.float32)
+    for start in range(0, len(several), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        held = np.zeros((len(ids), min(4096, len(several) - start)), np.float32)
+        held[row[a:b], column[a:b] - start] = 1
+        common += held @ held.T
+    common = common.astype(np.int64)
+    linked = share.denominator * common >= share.numerator * (sizes[:, None] + sizes[None, :] - common)
+    i, j = np.nonzero(linked & (parts[:, None] < parts[None, :]))
+    _, one = np.unique(np.stack([parts[i], parts[j]], axis=1), axis=0, return_index=True) if len(i) else (None, np.empty(0, int))
+    return ids[i[one]], ids[j[one]]
+
+
+def links_across(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """Links (a, b) between sets of one head that are in different parts; ``members``: (head, id, part).
+
+    A head's sets are dealt into blocks of about BLOCK sets, and every two blocks are compared in a task of their own: a
+    task holds two blocks however many sets a head has. Pairs are matrix entries, never rows.
+    """
+    counted = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.join(counted, "head").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "part")
+    full = dealt.join(sets.select("id", "tokens").hint("merge"), "id").select("head", "lo", "hi", "id", "part", "tokens")
+    ordered = full.repartition("head", "lo", "hi").sortWithinPartitions("head", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in [*batches, None]:
+            new = [] if batch is None else [batch]
+            rows = pa.Table.from_batches([*(rest or []), *new]) if rest or new else None
+            if rows is None:
+                return
+            rows = rows.combine_chunks()
+            keys = np.stack([rows.column(c).to_numpy() for c in ("head", "lo", "hi")], axis=1)
+            begins = np.flatnonzero(np.append(True, (np.diff(keys, axis=0) != 0).any(axis=1))[: len(keys)])
+            ends = np.append(begins[1:], len(keys))
+            if batch is not None and len(begins):
+                begins, ends, cut = begins[:-1], ends[:-1], int(begins[-1])
+            else:
+                cut = len(keys)
+            for start, stop in zip(begins.tolist(), ends.tolist()):
+                part = rows.slice(start, stop - start).combine_chunks()
+                listed = pa.concat_arrays(part.column("tokens").chunks)
+                a, b = links_of_block(
+                    part.column("id").to_numpy(), part.column("part").to_numpy(), listed.value_lengths().to_numpy().astype(np.int64), listed.flatten().to_numpy(), share
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            rest = rows.slice(cut).to_batches()
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def links(sets: DataFrame, share: Fraction) -> DataFrame:
     """Links (a, b) among ``sets`` (id, n, kept, tokens), as many as give all components."""
     lists = stored(index_lists(sets, share), "lists")
-    heads = lists.groupBy("token", "block").agg(F.min("id").alias("head"))
+    heads = stored(lists.groupBy("token", "block").agg(F.min("id").alias("head")), "heads")
     head_rows = lists.join(heads.withColumnRenamed("head", "id"), ["token", "block", "id"], "left_semi")
     star = _named(lists, "y").join(_named(head_rows, "x"), ["token", "block"]).where("x_id < y_id").where(_room(share))
-    star = stored(star.groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.count(F.lit(1)).alias("lists")), "star")
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("a")).select("a", "b")
+    star = star.groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+    best = stored(star.groupBy("b").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("a")).select("a", "b"), "best")
     found = stored(verified(best, sets, share), "links")
-    tried = best
-    # what the first answers do not connect yet: the other heads, then all pairs across components of a list
-    for cross in (False, True):
-        part = stored(connected(found), "parts")
-        if cross:
-            placed = lists.join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-            mixed_lists = placed.groupBy("token", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token", "block")
-            placed = stored(placed.join(mixed_lists, ["token", "block"], "left_semi"), "mixed")
-            pairs = _named(placed, "x", "part").join(_named(placed, "y", "part"), ["token", "block"])
-            pairs = pairs.where("x_part <> y_part and x_id < y_id").where(_room(share)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-        else:
-            pairs = star.select("a", "b")
-            for side in ("a", "b"):
-                pairs = pairs.join(part.select(F.col("id").alias(side), F.col("component").alias(f"{side}_part")), side, "left")
-            pairs = pairs.where("coalesce(a_part, a) <> coalesce(b_part, b)").select("a", "b")
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(found.unionByName(verified(pairs, sets, share)), "links")
-        tried = tried.unionByName(pairs)
-    return found
+    # lists that the first answers leave in more than one part; their sets are compared under the list's head
+    part = stored(connected(found), "parts")
+    placed = lists.join(part, "id", "left").select("token", "block", "id", F.coalesce("component", "id").alias("part"))
+    several = placed.groupBy("token", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token", "block")
+    headed = heads.join(several, ["token", "block"], "left_semi")
+    members = stored(placed.join(headed, ["token", "block"]).select("head", "id", "part").distinct(), "members")
+    return found.unionByName(stored(links_across(members, sets, share), "links"))
 
 
 def components(docs: DataFrame, words: int = 4, share: Fraction = Fraction(85, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     sets = stored(shingle_sets(docs, words, share, full=False), "sets")
     chosen = stored(possible(sets), "possible")
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left_semi")
     kept = stored(shingle_sets(texts, words, share, full=True), "full-sets")
     classes = stored(kept.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
     first = kept.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id")
