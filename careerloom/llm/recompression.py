@@ -128,22 +128,22 @@ def windows_of(hashes: np.ndarray, rows: np.ndarray, k: int = WINDOW, radius: in
     return Windows(start, row, np.where(least == none, -1, least & 0xFFFFFFFF), key, hashes, rows)
 
 
-def _per_text(batch: pa.RecordBatch, text: int):
+def _per_text(batch: pa.RecordBatch, k: int):
     """(first row, rows, bytes, word table) of each numpy step over a batch."""
-    flat, offsets = text_bytes(batch.column(text))
+    flat, offsets = text_bytes(batch.column(1))
     for a, b in slices(np.diff(offsets)):
         own, bounds = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         hashes, starts, ends, rows = word_hashes(own, bounds)
-        yield a, b, own, (starts, ends), windows_of(hashes, rows)
+        yield a, b, own, (starts, ends), windows_of(hashes, rows, k)
 
 
-def places(docs: DataFrame) -> DataFrame:
+def places(docs: DataFrame, k: int) -> DataFrame:
     """(key, doc_id, at): the picked places of every document with their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for a, _, _, _, w in _per_text(batch, 1):
+            for a, _, _, _, w in _per_text(batch, k):
                 at, which = np.unique(w.place, return_index=True)
                 at, which = at[at >= 0], which[at >= 0]
                 row = w.row[which]
@@ -179,7 +179,7 @@ def candidate_windows(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for a, b, _, _, w in _per_text(batch, 1):
+            for a, b, _, _, w in _per_text(batch, k):
                 chosen = _candidates(w, batch.column(2), a, b)
                 one, two, first = _names(w, chosen, k)
                 row = w.row[chosen][first]
@@ -200,7 +200,7 @@ def without_repeats(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, own, (starts, ends), w in _per_text(batch, 1):
+            for a, b, own, (starts, ends), w in _per_text(batch, k):
                 chosen = _candidates(w, batch.column(2), a, b)
                 _, _, first = _names(w, chosen, k)
                 part = batch.column(3).slice(a, b - a)
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     if k < 2 * RADIUS + 2:
         raise ValueError(f"windows have at least {2 * RADIUS + 2} words")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    named = places(texts).groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
+    named = places(texts, k).groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
     unique = named.where("times = 1").groupBy("doc_id").agg(F.collect_list("at").alias("unique"))
     # always by a shuffle on the id: the two passes below read the same exchange of texts
     known = texts.join(unique.hint("merge"), "doc_id", "left")

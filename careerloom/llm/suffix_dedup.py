@@ -86,20 +86,20 @@ def classes_of(flat: np.ndarray, offsets: np.ndarray, k: int = WINDOW) -> Classe
     return Classes(row, (anchor - offsets[row]) * RANGES + part, low, high, core, whole)
 
 
-def _per_text(batch: pa.RecordBatch):
+def _per_text(batch: pa.RecordBatch, k: int):
     flat, offsets = text_bytes(batch.column(1))
     for a, b in slices(np.diff(offsets)):
         own, bounds = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        yield a, b, own, bounds, classes_of(own, bounds)
+        yield a, b, own, bounds, classes_of(own, bounds, k)
 
 
-def class_rows(docs: DataFrame) -> DataFrame:
+def class_rows(docs: DataFrame, k: int) -> DataFrame:
     """(core, whole, doc_id, code, times): the classes of every document, equal ones of a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for a, _, _, _, c in _per_text(batch):
+            for a, _, _, _, c in _per_text(batch, k):
                 order = np.lexsort((c.code, c.whole, c.core, c.row))
                 row, core, whole = c.row[order], c.core[order], c.whole[order]
                 new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(core) != 0) | (np.diff(whole) != 0))[: len(order)])
@@ -118,7 +118,7 @@ def texts_of_kinds(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, listed = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a, _, own, bounds, c in _per_text(batch):
+            for a, _, own, bounds, c in _per_text(batch, k):
                 place = {(r, code): i for i, (r, code) in enumerate(zip(c.row.tolist(), c.code.tolist()))}
                 out: list[tuple] = []
                 for r in range(len(bounds) - 1):
@@ -225,7 +225,7 @@ def without_repeats(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, own, bounds, c in _per_text(batch):
+            for a, b, own, bounds, c in _per_text(batch, k):
                 wholes, hits = batch.column(2).slice(a, b - a).to_pylist(), batch.column(3).slice(a, b - a).to_pylist()
                 rows = np.searchsorted(c.row, np.arange(b - a + 1))
                 out: list[tuple] = []
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, most_kinds: int = MOST_KIND
     A byte goes if it lies in a string of ``k`` bytes that also starts anywhere else; strings are judged on the input.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    rows = stored(class_rows(texts), "classes")
+    rows = stored(class_rows(texts, k), "classes")
     cores = rows.groupBy("core").agg(F.sum("times").alias("times")).where("times > 1").select("core")
     shared = stored(rows.join(cores.hint("merge"), "core", "left_semi"), "shared")
     kinds = shared.groupBy("core", "whole").agg(F.sum("times").alias("times"), F.min("doc_id").alias("doc_id"), F.min_by("code", "doc_id").alias("code"))

@@ -1,0 +1,36 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+
+@pytest.fixture(scope="session")
+def odd_docs():
+    """(doc_id, text): exact and near copies, shared passages, runs, null, empty, blank and long texts, ties."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(900)] + ["Ünï", "ñ", "日本語", "x."]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, base = text(70), text(160)
+    docs = [None, "", " \t\n", "one", "one two three", "One  TWO\nthree", "la " * 120, "a b " * 90, "z" * 900, "z" * 401]
+    docs += [base, base, base.replace(" ", "\n"), base + "  "]
+    for _ in range(12):
+        own = base.split(" ")
+        for _ in range(rng.randint(1, 6)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        docs.append(" ".join(own))
+    docs += [text(40) + " " + passage + " " + text(rng.randint(0, 30)) for _ in range(8)]
+    docs += [text(rng.randint(1, 250)) for _ in range(20)] + [text(6000), passage, passage + " " + passage]
+    return list(enumerate(docs))
+
+
+@pytest.fixture(scope="session")
+def odd_frame(spark, odd_docs):
+    """The same with columns whose names clash with the operators' own."""
+    rows = [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", 1, "x", 2.0, True) for i, t in odd_docs]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n int, key string, size double, tokens boolean").repartition(3)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
