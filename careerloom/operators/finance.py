@@ -27,14 +27,21 @@ def finance_by_school_year(panel: DataFrame, years_after: int = 2) -> DataFrame:
     return cells.withColumns({f"est_count_{k}": F.col(f"avg_prob_{k}") * F.col("n_graduates") for k in probs})
 
 
+#: What a cell knows about its school and year.
+CELL_COLUMNS = (
+    "n_jobs", "n_graduates", "avg_prob_finance_broad", "avg_prob_wallstreet", "est_count_finance_broad", "est_count_wallstreet",
+)
+
+
 def merge_finance(panel: DataFrame, cells: DataFrame) -> DataFrame:
-    """School-year means back on every row.
+    """Every column of the school-year cells back on every row (J11); rows without a school or year meet their own cell.
 
     The cells are a small table (schools x years); Spark broadcasts it when its
     measured size allows.
     """
-    means = cells.select("unitid", "year_to", "avg_prob_finance_broad", "avg_prob_wallstreet")
-    return panel.join(means, ["unitid", "year_to"], "left")
+    named = cells.select(F.col("unitid").alias("_unitid"), F.col("year_to").alias("_year"), *CELL_COLUMNS)
+    same = F.col("unitid").eqNullSafe(F.col("_unitid")) & F.col("year_to").eqNullSafe(F.col("_year"))
+    return panel.join(named, same, "left").drop("_unitid", "_year")
 
 
 def finance_overall(cells: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from careerloom.functions import fixed_values as fx
 from careerloom.functions.text import has, starts
 from careerloom.operators.relational import (
+    Skew,
+    broadcast_by_size,
     enrich,
     flag_in_keys,
     in_keys,
@@ -18,6 +20,7 @@ from careerloom.operators.relational import (
     share,
 )
 from careerloom.operators.titles import broad_founder_flag, event_names
+from careerloom.session import stored
 
 
 def company_ownership(exp: DataFrame, drop_self_names: bool = False) -> DataFrame:
@@ -64,14 +67,14 @@ def franchise_flags(exp: DataFrame, drop_self_names: bool = False) -> DataFrame:
     Only founder and owner rows can be flagged, so the lookup key of all other
     rows is blank: they are spread evenly instead of following their company.
     """
-    found = franchises(company_ownership(exp, drop_self_names))
+    found = stored(franchises(company_ownership(exp, drop_self_names)).select(F.col("company_name").alias("_key")), "franchises")
     key = F.when(F.col("is_founder_only") | F.col("is_owner_only"), F.col("company_name"))
     out = flag_in_keys(
         exp.withColumn("_key", key),
-        found.select(F.col("company_name").alias("_key")),
+        found,
         "_key",
         "_franchise",
-        measure_skew(exp, "company_name", nulls=True),
+        Skew() if broadcast_by_size(found) else measure_skew(exp, "company_name", nulls=True),
     )
     return out.withColumns({
         "franchise_founder_or_owner": F.col("_franchise") & F.col("is_founder_or_owner"),
@@ -94,14 +97,14 @@ def cofounder_urls(exp: DataFrame) -> DataFrame:
 
 def cofounder_flags(exp: DataFrame) -> DataFrame:
     """Founder or owner rows at a URL shared by 2..10 of them."""
-    urls = cofounder_urls(exp)
+    urls = stored(cofounder_urls(exp).select(F.col("company_url").alias("_key")), "cofounder-urls")
     key = F.when(F.col("is_founder_or_owner"), F.col("company_url"))
     out = flag_in_keys(
         exp.withColumn("_key", key),
-        urls.select(F.col("company_url").alias("_key")),
+        urls,
         "_key",
         "cofound_coown_same_url",
-        measure_skew(exp, "company_url", nulls=True),
+        Skew() if broadcast_by_size(urls) else measure_skew(exp, "company_url", nulls=True),
     )
     return out.drop("_key")
 

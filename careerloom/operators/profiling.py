@@ -12,7 +12,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, IntegralType, NumericType, StringType
 
 from careerloom.functions import fixed_values as fx
 from careerloom.functions.ranks import exact_percentiles
@@ -109,7 +109,10 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) ->
 def binary_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """True and false counts of the columns with exactly two values, both from the known pairs (Q6)."""
     cols = list(columns or df.columns)
-    counts = long_values(df, cols, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
+    # numbers count by value, so that 0.0 and 1.0 of a fractional column are 0 and 1
+    real = [f.name for f in df.schema if f.name in cols and isinstance(f.dataType, NumericType) and not isinstance(f.dataType, IntegralType)]
+    plain = df.withColumns({c: F.when(F.col(c) == 0, "0").when(F.col(c) == 1, "1").otherwise(F.col(c).cast("string")) for c in real})
+    counts = long_values(plain, cols, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
     yes = F.col("value").isin(*fx.TRUE_VALUES)
     rows = df.agg(F.count("*")).scalar()
     return (

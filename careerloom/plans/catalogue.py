@@ -316,7 +316,7 @@ def school_outcomes(spark, sf):
 
 def _majors(spark, sf):
     raw = load(spark, sf, "education").select("id", F.col("subtitle").alias("university_major_raw"))
-    docs = load(spark, sf, "documents").where(F.col("lang") == "en").select(
+    docs = load(spark, sf, "documents").select(
         (F.col("doc_id") + 10_000_000).alias("id"), F.col("text").alias("university_major_raw")
     )
     return rel.union_all(raw, docs)
@@ -680,11 +680,11 @@ def train_test_split(spark, sf):
 # --- embeddings and classifiers ---------------------------------------------
 
 def _vocab(spark, sf):
-    words = load(spark, sf, "documents").select(F.explode(tokens("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(500)  # the vocabulary has 500 words by definition
-    ranked = top.withColumn("vec_id", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1)
+    """Every word of the documents, with the vector that its hash names."""
     vectors = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return vectors.join(F.broadcast(ranked.select("word", F.col("vec_id").cast("long"))), "vec_id").select("word", "vec")
+    words = load(spark, sf, "documents").select(F.explode(tokens("text")).alias("word")).distinct()
+    named = words.withColumn("vec_id", rel.hash_bucket("word", vectors.count()))
+    return named.join(vectors, "vec_id").select("word", "vec")
 
 
 @query
@@ -858,7 +858,7 @@ def finance_merged(spark, sf):
     """C46 J11"""
     jobs = _finance_jobs(spark, sf)
     return rounded(finance.merge_finance(jobs, finance.finance_by_school_year(jobs))).select(
-        "id_experience", "id_education", "unitid", "year_to", "avg_prob_finance_broad", "avg_prob_wallstreet"
+        "id_experience", "id_education", "unitid", "year_to", *finance.CELL_COLUMNS
     )
 
 
@@ -915,6 +915,7 @@ def profile_categorical(spark, sf):
 def profile_binary(spark, sf):
     """Q6 Q11"""
     labels = load(spark, sf, "labels").withColumn("flag", F.col("quality") == 1)
+    labels = labels.withColumns({"real": F.col("toxic").cast("double"), "exact": F.col("toxic").cast("decimal(9,2)"), "half": F.col("toxic") / 2})
     return rounded(profiling.binary_columns(labels))
 
 
@@ -967,7 +968,7 @@ def label_coverage(spark, sf):
     person = panel.with_majors(panel.collapse_to_person(career_jobs(spark, sf)))
     labels = {**fx.PANEL_LABELS, "no_such_column": "A label without a column"}
     labelled = writers.with_labels(person, labels)
-    return profiling.label_coverage(labelled, labels).where(F.col("label").isNotNull())
+    return profiling.label_coverage(labelled, labels)
 
 
 # --- sources, sinks, stages -------------------------------------------------

@@ -264,7 +264,7 @@ add("school_outcomes", JOB_VIEWS, "SELECT unitid, year_end_college, count(*) AS
     + " FROM person GROUP BY ALL", **PERSON)
 
 MAJORS_RAW = """SELECT id, subtitle AS university_major_raw FROM education
-  UNION ALL SELECT doc_id + 10000000, text FROM documents WHERE lang = 'en'"""
+  UNION ALL SELECT doc_id + 10000000, text FROM documents"""
 _STARTS = " OR ".join(found("lower(university_major_raw)", "^" + p, False) for p in fx.BACHELOR_STARTS)
 _STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 _CUT = _STRIP.format(c=f"regexp_replace(university_major_raw, {q('|'.join(fx.DEGREE_PREFIXES))}, '', 'gi')")
@@ -527,8 +527,8 @@ LEFT JOIN (SELECT doc_id, i::INT AS pos, sum(n * x) AS total, sum(n) AS k FROM (
     SELECT doc_id, n, unnest(vec)::DOUBLE AS x, unnest(range(64)) AS i FROM (SELECT doc_id, word, count(*) AS n FROM t GROUP BY ALL) JOIN v USING (word))
   GROUP BY ALL) s USING (doc_id, pos))""",
     t=_TOKENS,
-    v="""SELECT word, embedding AS vec FROM (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS vec_id FROM t GROUP BY word
-      ORDER BY count(*) DESC, word LIMIT 500) JOIN embeddings USING (vec_id)""")
+    v="""SELECT word, embedding AS vec FROM (SELECT word, ('0x' || substr(md5(word), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id
+      FROM (SELECT DISTINCT word FROM t)) JOIN embeddings USING (vec_id)""")
 add("normalised_embedding", "", """
 SELECT vec_id, pos, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS value FROM (
   SELECT vec_id, pos, round(CASE WHEN len = 0 THEN x ELSE x / len END, 6) AS v FROM (
@@ -574,8 +574,9 @@ add("finance_school_year", FV, """
 SELECT unitid, year_to, n_jobs, n_graduates, round(af, 6) AS avg_prob_finance_broad, round(aw, 6) AS avg_prob_wallstreet,
   round(ef, 6) AS est_count_finance_broad, round(ew, 6) AS est_count_wallstreet FROM cells""", **FIN)
 add("finance_merged", FV, """
-SELECT id_experience, id_education, unitid, year_to, round(af, 6) AS avg_prob_finance_broad, round(aw, 6) AS avg_prob_wallstreet
-FROM fin LEFT JOIN cells USING (unitid, year_to)""", **FIN)
+SELECT id_experience, id_education, fin.unitid, fin.year_to, n_jobs, n_graduates, round(af, 6) AS avg_prob_finance_broad,
+  round(aw, 6) AS avg_prob_wallstreet, round(ef, 6) AS est_count_finance_broad, round(ew, 6) AS est_count_wallstreet
+FROM fin LEFT JOIN cells ON fin.unitid IS NOT DISTINCT FROM cells.unitid AND fin.year_to IS NOT DISTINCT FROM cells.year_to""", **FIN)
 add("finance_overall", FV, """
 SELECT round(avg(af), 6) AS mean_finance_broad, round(avg(aw), 6) AS mean_wallstreet, round(sum(ef), 6) AS total_finance_broad,
   round(sum(ew), 6) AS total_wallstreet FROM cells""", **FIN)
@@ -612,7 +613,7 @@ add("profile_categorical", "experience", " UNION ALL ".join(f"""
 FROM (SELECT {c}, count(*) AS n FROM experience WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, {c} LIMIT 1)""" for c in _TXT))
 add("profile_binary", "", " UNION ALL ".join(f"""
 SELECT '{c}' AS "column", count(*) FILTER ({e} = 1) AS n_true, count(*) FILTER ({e} = 0) AS n_false,
-  round(count(*) FILTER ({e} = 1) * 100.0::DOUBLE / count(*), 6) AS pct_true FROM labels""" for c, e in [("quality", "quality"), ("toxic", "toxic"), ("flag", "quality")]))
+  round(count(*) FILTER ({e} = 1) * 100.0::DOUBLE / count(*), 6) AS pct_true FROM labels""" for c, e in [("quality", "quality"), ("toxic", "toxic"), ("flag", "quality"), ("real", "toxic"), ("exact", "toxic")]))
 add("profile_column_groups", "experience", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", 'entrepreneurship' AS column_group, count(*) AS n_rows, count({c}) AS n_known, count(*) FILTER ({c}) AS n_true, "
     f"round(avg({c}::INT), 6) AS share_true FROM f" for c in FLAG_COLS[2:]), f=FLAGGED)
@@ -632,10 +633,12 @@ SELECT metric, round(value, 6) AS value FROM (
 add("top_companies", "experience", "SELECT company_name, count(*) AS n FROM experience WHERE company_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, company_name LIMIT 20")
 add("binary_to_int", "", """
 SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic, quality::BIGINT AS as_double, (toxic = 1)::BIGINT AS as_flag, quality * 2 AS other FROM labels""")
+_PLAIN = ["bachelors_degree", *WINDOW_NAMES, *[f"major_{name}" for _, name, _ in fx.MAJORS], "major_other"]
 _LABELS = {**fx.PANEL_LABELS, "no_such_column": "A label without a column"}
 add("label_coverage", JOB_VIEWS, " UNION ALL ".join(
     (f"SELECT '{c}' AS \"column\", count({'university_major_clean' if c == 'university_major_categorized' else c}) AS n_known, {q(t)} AS label, 'labelled' AS status FROM p"
-     if c != "no_such_column" else f"SELECT '{c}', NULL, {q(t)}, 'label without column'") for c, t in _LABELS.items()),
+     if c != "no_such_column" else f"SELECT '{c}', NULL, {q(t)}, 'label without column'") for c, t in _LABELS.items())
+    + "".join(f" UNION ALL SELECT '{c}', count({c if c in WINDOW_NAMES else '*'}), NULL, 'column without label' FROM p" for c in _PLAIN),
     **PERSON, p=f"SELECT * FROM (SELECT *, {_CUT} AS university_major_clean FROM person) WHERE NOT coalesce(regexp_matches(university_major_clean, {q(fx.SHORT_NOTE)}), false)")
 
 # --- sources, sinks, stages -------------------------------------------------

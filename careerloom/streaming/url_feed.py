@@ -2,7 +2,8 @@
 
 A file stream with an available-now trigger picks up the files that came since
 the last run.  Each micro-batch decides the URLs not accepted yet, appends the
-decisions, and writes the rows whose URL is accepted.  Both outputs of a batch
+decisions, and writes the rows whose URL is accepted.  Rows whose URL is not
+accepted wait; the batch that accepts it writes them too.  All outputs of a batch
 go to a folder of their own that a replayed batch overwrites, so a restart
 after a lost driver or executor leaves nothing twice.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from careerloom import schemas
 from careerloom.functions import fixed_values as fx
@@ -31,6 +32,10 @@ def decided_urls(spark: SparkSession, out: str, before: int | None = None) -> Da
     return table if before is None else table.where(F.col("batch") < before)
 
 
+def waiting_schema(rows: DataFrame) -> StructType:
+    return StructType([*rows.schema.fields, StructField("_batch", IntegerType())])
+
+
 def accepted_rows(spark: SparkSession, out: str) -> DataFrame:
     """Education rows with an accepted URL, over all batches."""
     return spark.read.parquet(f"{out}/rows")
@@ -64,6 +69,10 @@ def run_url_feed(
         fresh.write.mode("overwrite").parquet(path)
         written = spark.read.schema("school_url string, unitid long, instnm string").parquet(path)
         kept = enrich(rows, known.unionByName(written), "school_url", how="inner")
+        waiting = not_in_keys(rows, known.unionByName(written), "school_url")
+        waiting.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/waiting/batch{batch_id}")
+        earlier = spark.read.schema(waiting_schema(rows)).parquet(f"{out}/waiting/batch*").where(F.col("_batch") < batch_id)
+        kept = kept.unionByName(enrich(earlier.drop("_batch"), written, "school_url", how="inner"))
         kept.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
 
     query = (

@@ -126,6 +126,8 @@ def test_feed_accepts_what_the_batch_accepts(spark, tables, tmp_path):
     assert rows(decided_urls(spark, out).select("school_url").distinct()) == rows(batch.distinct())
     assert decided_urls(spark, out).count() == batch.distinct().count()
     before = accepted_rows(spark, out).count()
+    want = matching.matchable(edu).join(decided_urls(spark, out).select("school_url"), "school_url").select("id")
+    assert rows(accepted_rows(spark, out).select("id")) == rows(want)
     run_url_feed(spark, source, out, state, uni, tags)
     assert accepted_rows(spark, out).count() == before
 
