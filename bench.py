@@ -32,6 +32,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
+    QUERIES["founder_owner_flags"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # start-up is not timed
     seconds = {}
     for name in names:
         start = time.perf_counter()
