@@ -84,6 +84,18 @@ def _regression(n: float, c: float, features: str = "features") -> LogisticRegre
     )
 
 
+def _scaler(train: DataFrame) -> StandardScalerModel:
+    return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(train)
+
+
+def standardised(train: DataFrame) -> DataFrame:
+    """``scaled``: features less their mean, over their population deviation; 0 where a feature is constant (M4)."""
+    n = train.count()
+    factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
+    scaled = _scaler(train).transform(train)
+    return scaled.withColumn("scaled", F.transform(vector_to_array("scaled"), lambda x: x * factor))
+
+
 def fit_classifier(train: DataFrame, c: float = 1.0, standardise: bool = False) -> NameClassifier:
     """Logistic regression on ``features`` and ``y``, optionally on standardised features (M4, M5).
 
@@ -94,7 +106,7 @@ def fit_classifier(train: DataFrame, c: float = 1.0, standardise: bool = False)
     n = train.count()
     if not standardise:
         return NameClassifier(None, _regression(n, c).fit(train))
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(train)
+    scaler = _scaler(train)
     scaled = scaler.transform(train)
     return NameClassifier(scaler, _regression(n * n / (n - 1), c, "scaled").fit(scaled).setFeaturesCol("features"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from careerloom.plans import stages
 from careerloom.plans.fixtures import GENERIC_SUFFIX, HOST, load
 from careerloom.session import scratch_path, stored
 from careerloom.sources import readers, writers
+from careerloom.streaming import url_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -262,6 +264,17 @@ def scores_joined(spark, sf):
     return rounded(scoring.merge_scores(exp, scored(spark, sf)))
 
 
+@query
+def company_scores_joined(spark, sf):
+    """A stored score table, rewritten from its own rows, replaces the stale column"""
+    path = scratch_path(spark, "scores")
+    writers.write_snapshot(load(spark, sf, "company_scores"), path)
+    doubled = readers.snapshot(spark, path).withColumn("fb_ad_prob", F.col("fb_ad_prob") * 2)
+    writers.write_snapshot(doubled, path)
+    exp = experience(spark, sf).withColumn("fb_ad_prob", F.lit(-1.0))
+    return rounded(companies.merge_company_scores(exp, readers.optional_snapshot(spark, path)))
+
+
 # --- panel ------------------------------------------------------------------
 
 @query
@@ -461,6 +474,19 @@ def url_decisions(spark, sf):
     return matching.url_decisions(load(spark, sf, "education"), uni, matching.tag_list(uni), generic_suffix=GENERIC_SUFFIX)
 
 
+@query
+def url_feed_rows(spark, sf):
+    """I2, as a feed of one file per batch: the rows of every URL that some batch accepted"""
+    source, out, state = (scratch_path(spark, f"feed-{part}") for part in ("in", "out", "state"))
+    edu = load(spark, sf, "education").drop("unitid").withColumns({c: F.col(c).cast("long") for c in ("id", "member_id")})
+    edu.repartition(3, "id").write.parquet(source)
+    uni = clean_universities(spark, sf)
+    url_feed.run_url_feed(
+        spark, source, out, state, uni, matching.tag_list(uni), files_per_batch=1, generic_suffix=GENERIC_SUFFIX
+    )
+    return url_feed.accepted_rows(spark, out).select("id", "title", "school_url")
+
+
 def _with_repeats(spark, sf):
     """Education rows under their institution's name, every second one twice under the order's ids."""
     uni = load(spark, sf, "universities")
@@ -708,6 +734,22 @@ def _vector_names(spark, sf):
     return emb.select("company_name", "embedding"), labels
 
 
+@query
+def aligned_training(spark, sf):
+    """M3: the names that have a label and a vector"""
+    vectors, labels = _vector_names(spark, sf)
+    aligned = embedding.train_xy(labels, vectors, "y")
+    return rounded(aligned.select("company_name", "y", F.posexplode(vector_to_array("features")).alias("pos", "value")))
+
+
+@query
+def standardised_features(spark, sf):
+    """M4: features less their mean, over their population deviation"""
+    vectors, labels = _vector_names(spark, sf)
+    scaled = embedding.standardised(stored(embedding.train_xy(labels, vectors, "y"), "train"))
+    return scaled.select("company_name", F.posexplode("scaled").alias("pos", "value")).withColumn("value", r6("value") + 0.0)
+
+
 @query
 def classifier(spark, sf):
     """M3 M4 M5 M6 M7 M8"""
@@ -736,6 +778,13 @@ def name_scores(spark, sf):
     return rounded(embedding.score_names(rows, vectors, {"finance_broad": model}))
 
 
+@query
+def scored_rows(spark, sf):
+    """M8: which rows the merge by name gives a score; none is lost or repeated"""
+    known = F.col("prob_finance_broad").between(0, 1)
+    return name_scores(spark, sf).select("event_id", "company_name", F.coalesce(known, F.lit(False)).alias("scored"))
+
+
 @query
 def holdout_score(spark, sf):
     """M9"""
@@ -813,6 +862,21 @@ def resume_labels(spark, sf):
     return done.join(runs, "company_name").select("company_name", "label", "n_records")
 
 
+@query
+def label_lines(spark, sf):
+    """Lines of labels among blank, broken and nameless ones"""
+    path = scratch_path(spark, "label-lines")
+    named = F.to_json(F.struct(
+        F.concat(F.lit("user "), F.col("user_id")).alias("company_name"), F.col("event_type").alias("label"), F.col("value").alias("confidence")
+    ))
+    kind = F.col("event_id") % 4
+    line = F.when(kind == 0, F.lit("")).when(kind == 1, F.expr("substr(line, 1, length(line) - 1)")).when(
+        kind == 2, F.to_json(F.struct(F.col("event_type").alias("label")))
+    ).otherwise(F.col("line"))
+    load(spark, sf, "events").withColumn("line", named).select(line.alias("value")).write.text(path)
+    return rounded(readers.label_lines(spark, path))
+
+
 @query
 def reply_parse(spark, sf):
     """Replies of every accepted shape made from the events, and whole conversation texts as broken ones"""
@@ -971,6 +1035,16 @@ def label_coverage(spark, sf):
     return profiling.label_coverage(labelled, labels)
 
 
+@query
+def labelled_dictionary(spark, sf):
+    """K4: a table written with its descriptions, its dictionary read back beside the values known"""
+    path = scratch_path(spark, "labelled")
+    labels = {"id": "Number of the job", "company_url": "Page of the employer", "absent": "A label without a column"}
+    writers.write_labelled(experience(spark, sf), path, labels)
+    known = profiling.label_coverage(readers.snapshot(spark, path), labels).select("column", "n_known")
+    return readers.snapshot(spark, f"{path}_dictionary").join(known, "column").select("column", "label", "n_known")
+
+
 # --- sources, sinks, stages -------------------------------------------------
 
 @query

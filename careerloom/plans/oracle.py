@@ -197,6 +197,8 @@ def label_of(p: str) -> str:
 SCORED = f"SELECT *, {label_of('fb_ad_prob')} AS fb_ad_likelihood FROM company_scores"
 add("scores_joined", "experience company_scores", """
 SELECT e.*, round(s.fb_ad_prob, 6) AS fb_ad_prob, s.fb_ad_likelihood FROM experience e LEFT JOIN s USING (company_name)""", s=SCORED)
+add("company_scores_joined", "experience company_scores", """
+SELECT e.*, round(s.fb_ad_prob * 2, 6) AS fb_ad_prob FROM experience e LEFT JOIN company_scores s USING (company_name)""")
 
 # --- panel ------------------------------------------------------------------
 
@@ -398,6 +400,8 @@ add("url_decisions", "universities education", """
 SELECT school_url, count(*) AS n_titles, school_url IN (SELECT school_url FROM best) AS accepted
 FROM (SELECT DISTINCT title, school_url FROM rows) GROUP BY 1""",
     uni=UNI, tags=TAGS, rows=MATCHABLE.format(t="education"), **matches("rows", 85))
+add("url_feed_rows", "universities education", "SELECT id, title, school_url FROM rows WHERE school_url IN (SELECT school_url FROM best)",
+    uni=UNI, tags=TAGS, rows=MATCHABLE.format(t="education"), **matches("rows", 85, "school_url"))
 
 REPEATS = """SELECT o.id, e.member_id, e.title, e.school_url, v.instnm
   FROM (SELECT o_custkey * 2 + o_orderkey % 2 AS id, o_custkey AS k FROM orders) o
@@ -534,6 +538,14 @@ SELECT vec_id, pos, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS value FROM (
   SELECT vec_id, pos, round(CASE WHEN len = 0 THEN x ELSE x / len END, 6) AS v FROM (
   SELECT vec_id, unnest(range(64))::INT AS pos, unnest(embedding)::DOUBLE AS x,
     sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS len FROM embeddings))""")
+_TRAIN = """SELECT 'name ' || vec_id AS company_name, (label >= 5)::INT::DOUBLE AS y, unnest(range(64))::INT AS pos, unnest(embedding)::DOUBLE AS x
+  FROM embeddings WHERE vec_id % 7 <> 0"""
+add("aligned_training", "", "SELECT company_name, y, pos, round(x, 6) + 0.0::DOUBLE AS value FROM t WHERE y IS NOT NULL", t=_TRAIN)
+add("standardised_features", "", """
+SELECT company_name, pos, round(coalesce((x - avg(x) OVER p) / nullif(stddev_pop(x) OVER p, 0), 0), 6) + 0.0::DOUBLE AS value
+FROM t WHERE y IS NOT NULL WINDOW p AS (PARTITION BY pos)""", t=_TRAIN)
+add("scored_rows", "", """
+SELECT event_id, 'name ' || user_id AS company_name, user_id IN (SELECT vec_id FROM embeddings) AS scored FROM events""")
 add("holdout_names", "", """
 SELECT 'name ' || vec_id AS company_name FROM embeddings WHERE NOT (vec_id % 3 = 0 AND vec_id % 7 <> 0)
 ORDER BY md5('42:' || 'name ' || vec_id) LIMIT 50""")
@@ -554,6 +566,9 @@ SELECT bucket, batch, count(*)::INT AS n_names, string_agg(company_name, '|' ORD
 _LABEL = "CASE length(company_name) % 3 WHEN 0 THEN 'visual' WHEN 1 THEN 'non_visual' ELSE 'unknown' END AS label"
 add("batch_labels", "experience", f"SELECT company_name, {_LABEL} FROM names", names=_NAMES)
 add("resume_labels", "experience", f"SELECT company_name, {_LABEL}, 1 AS n_records FROM names", names=_NAMES)
+add("label_lines", "", """
+SELECT 'user ' || user_id AS company_name, event_type AS label, round(value, 6) AS confidence, NULL::VARCHAR AS reason
+FROM events WHERE event_id % 4 = 3""")
 add("reply_parse", "", """
 SELECT k, CASE WHEN s = 3 THEN 'event ' || k WHEN s < 5 THEN 'user ' || user_id END AS company_name,
   CASE WHEN s < 5 THEN event_type END AS label, CASE WHEN s NOT IN (3, 5) THEN round(value, 6) END AS confidence
@@ -640,6 +655,10 @@ add("label_coverage", JOB_VIEWS, " UNION ALL ".join(
      if c != "no_such_column" else f"SELECT '{c}', NULL, {q(t)}, 'label without column'") for c, t in _LABELS.items())
     + "".join(f" UNION ALL SELECT '{c}', count({c if c in WINDOW_NAMES else '*'}), NULL, 'column without label' FROM p" for c in _PLAIN),
     **PERSON, p=f"SELECT * FROM (SELECT *, {_CUT} AS university_major_clean FROM person) WHERE NOT coalesce(regexp_matches(university_major_clean, {q(fx.SHORT_NOTE)}), false)")
+add("labelled_dictionary", "experience", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {label} AS label, count({c}) AS n_known FROM experience"
+    for c, label in [("id", "'Number of the job'"), ("company_url", "'Page of the employer'"),
+                     *[(c, "NULL::VARCHAR") for c in ("member_id", "title", "company_name", "date_from", "date_to")]]))
 
 # --- sources, sinks, stages -------------------------------------------------
 

@@ -19,7 +19,7 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     first, so the old data is still there while it is being read.
     """
     spark = df.sparkSession
-    if any(path.rstrip("/") in f for f in df.inputFiles()):
+    if any(f"{path.rstrip('/')}/" in f for f in df.inputFiles()):
         staged = scratch_path(spark, "staged")
         df.write.parquet(staged)
         df = spark.read.parquet(staged)

@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from careerloom.plans.catalogue import QUERIES
+from careerloom.plans.oracle import ORACLE
 from tools.check import canonical, oracle_db
 
 
@@ -12,21 +14,21 @@ def db(sf):
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"classifier", "name_scores", "holdout_score"}
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) == {"classifier", "name_scores", "holdout_score"}
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, sf, db, name):
-    got = queries()[name](spark, sf).toPandas()
-    want = db.execute(oracle_sql()[name]).df()
+    got = QUERIES[name](spark, sf).toPandas()
+    want = db.execute(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 
 
 @pytest.mark.parametrize("name", ["classifier", "name_scores", "holdout_score"])
 def test_model_queries_give_shares(spark, sf, name):
-    got = queries()[name](spark, sf).toPandas()
+    got = QUERIES[name](spark, sf).toPandas()
     column = "prob_finance_broad" if name == "name_scores" else "auc"
     known = got[column].dropna()
     assert len(got) and known.between(0, 1).all()
