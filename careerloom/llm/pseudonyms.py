@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
-Values are found by pattern and validated: card numbers by their check digit, dates by the calendar, addresses and
-telephone and social security numbers by their ranges. A keyed Feistel network permutes the values of one format among
+Values are found by pattern and validated: card numbers by their check digit, also where other numbers stand one blank
+or hyphen away, dates by the calendar, addresses and telephone and social security numbers by their ranges. A keyed Feistel network permutes the values of one format among
 themselves, so a pseudonym is valid in the same format and equal values have equal pseudonyms in every document. The
 local part of a mail address goes through a Feistel network of characters; its domain stays. Invalid look-alikes stay.
 
@@ -24,9 +24,18 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![./-]?[0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A run of digit groups ends where a value of another format begins; possessive, so that long runs need no stack.
+_BEGINS = "|".join((
+    PATTERNS["address"], PATTERNS["date"].replace("[0-9]{4}-", "(?:1[89]|2[01])[0-9]{2}-"),
+    r"[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])", PATTERNS["ssn"],
+))
+_RUN = PATTERNS["card"].replace("(?:[ -]?", f"(?:(?![ -](?:{_BEGINS}))[ -]?")
+ANY = "|".join(f"(?:{p})" for p in [*PATTERNS.values()][:-1] + [_RUN])
+#: Cards as they are usually printed; these are looked for first in a run that holds more than a card.
+USUAL = r"^(?:[2-6][0-9]{12,18}|[2-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5})$"
+LEAST_DIGITS, MOST_DIGITS = 13, 19
 #: 400 years of days, the calendar's full cycle, from this day on.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1800-01-01", 189, 773
 
@@ -89,6 +98,55 @@ def _card(m: Column, key: str) -> Column:
     return F.when(F.pmod(_check_sum(d), F.lit(10)) == 0, _laid_out(m, F.concat(paid, check.cast("string"))))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value written and computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cards(run: Column, key: str) -> Column:
+    """(kinds, made) of a run of digit groups: the whole if it is a valid card, else the valid cards at group borders.
+
+    Usual forms are taken first, then any other part of the run, each from the left and the longest at a place.
+    """
+    most = 2 * MOST_DIGITS - 1
+    part = lambda at, n: F.substring(run, at, n)
+    valid = lambda m: (
+        F.length(_digits(m)).between(LEAST_DIGITS, MOST_DIGITS) & (F.pmod(_check_sum(_digits(m)), F.lit(10)) == 0)
+    )
+    places = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: (i == 1) | part(i - 1, F.lit(1)).isin(" ", "-"))
+
+    def longest(at: Column, usual: bool) -> Column:
+        ends = lambda n: (at + n == F.length(run) + 1) | part(at + n, F.lit(1)).isin(" ", "-")
+        good = lambda n: (at + n <= F.length(run) + 1) & ends(n) & ~part(at + n - 1, F.lit(1)).isin(" ", "-")
+        fits = lambda n: good(n) & (part(at, n).rlike(USUAL) if usual else F.lit(True)) & valid(part(at, n))
+        return F.coalesce(F.get(F.filter(F.sequence(F.lit(most), F.lit(LEAST_DIGITS), F.lit(-1)), fits), F.lit(0)), F.lit(0))
+
+    def taken(usual: bool, before: Column | None) -> Column:
+        """(at, n) of the cards from the left, clear of those in ``before``."""
+        spots = F.filter(F.transform(places, lambda at: F.struct(at.cast("int").alias("at"), longest(at, usual).cast("int").alias("n"))), lambda s: s["n"] > 0)
+        if before is not None:
+            spots = F.filter(spots, lambda s: ~F.exists(before, lambda b: (s["at"] < b["at"] + b["n"]) & (b["at"] < s["at"] + s["n"])))
+        step = lambda out, s: F.when(
+            s["at"] >= out["free"], F.struct((s["at"] + s["n"]).alias("free"), F.concat(out["all"], F.array(s)).alias("all"))
+        ).otherwise(out)
+        start = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<at:int,n:int>>").alias("all"))
+        return F.aggregate(spots, start, step, lambda out: out["all"])
+
+    def written(cards: Column) -> Column:
+        step = lambda out, c: F.struct(
+            (c["at"] + c["n"]).alias("next"), F.concat(out["text"], part(out["next"], c["at"] - out["next"]), _card(part(c["at"], c["n"]), key)).alias("text")
+        )
+        made = F.aggregate(
+            cards, F.struct(F.lit(1).alias("next"), F.lit("").alias("text")), step,
+            lambda out: F.concat(out["text"], part(out["next"], F.length(run))),
+        )
+        return F.struct(F.transform(cards, lambda _: F.lit("card")).alias("kinds"), made.alias("made"))
+
+    whole = F.array(F.struct(F.lit(1).alias("at"), F.length(run).cast("int").alias("n")))
+    some = _bound(taken(True, None), lambda first: F.array_sort(F.concat(first, taken(False, first))))
+    return _bound(F.when(valid(run), whole).otherwise(some), written)
+
+
 def _phone(m: Column, key: str) -> Column:
     d = _digits(m)
     ten = F.substring(d, F.length(d) - 9, F.lit(10))
@@ -157,18 +215,17 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.array_join(out, ""), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-_MAKERS = {"email": _email, "address": _address, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
+_MAKERS = {"email": _email, "address": _address, "date": _date, "phone": _phone, "ssn": _ssn}
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """(kind, made) of one found value; both null if it is not valid in any format."""
+    """(kinds, made) of one found value; both null if it is not valid in any format. A run of digit groups may hold many cards."""
 
     def named(kind: str) -> Column:
-        pair = lambda x: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("made")))
-        return F.transform(F.array(_MAKERS[kind](value, key)), pair)[0]
+        return _bound(_MAKERS[kind](value, key), lambda x: F.when(x.isNotNull(), F.struct(F.array(F.lit(kind)).alias("kinds"), x.alias("made"))))
 
-    out = F.lit(None).cast("struct<kind:string,made:string>")
-    for kind in reversed(PATTERNS):
+    out = F.when(value.rlike(f"^(?:{PATTERNS['card']})$"), _cards(value, key))
+    for kind in reversed(_MAKERS):
         out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), named(kind)).otherwise(out)
     return out
 
@@ -184,6 +241,6 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         F.sequence(F.lit(1), F.size("_values")), pieces[0],
         lambda out, i: F.concat(out, F.coalesce(F.element_at("_made", i)["p"]["made"], F.element_at("_made", i)["value"]), F.element_at(pieces, i + 1)),
     )
-    kinds = F.filter(F.transform("_made", lambda x: x["p"]["kind"]), lambda k: k.isNotNull())
+    kinds = F.flatten(F.filter(F.transform("_made", lambda x: x["p"]["kinds"]), lambda k: k.isNotNull()))
     out = named.select("doc_id", F.when(some, joined).otherwise(F.col("text")).alias("text"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"))
     return out.select("doc_id", F.size("kinds").cast("long").alias("n_found"), "kinds", "text")

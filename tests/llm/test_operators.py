@@ -174,6 +174,23 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(docs, "other").first().text != first
 
 
+def test_pseudonyms_of_cards_beside_other_numbers(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    cases = [  # text, values found
+        (f"card {card} 12/27", 1), ("4111111111111111 123 main", 1), ("paid 4111111111111111 20 EUR", 1), (f"12 {card}", 1),
+        (f"1234 5678 9012 {card}", 1), (f"{card} {card}", 2), (f"{amex}-7 {card} 99", 2), (f"{card} 555-234-4567", 2),
+        (f"{card} 31/12/1999", 2), (f"{card} 10.0.0.1", 2), ("4111 1111 1111 1112 12", 0), ("7" * 5000 + " " + "1 " * 5, 0),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(docs, "k").collect()}
+    one = pseudonyms.pseudonymised(spark.createDataFrame([(0, card)], "doc_id long, text string"), "k").first().text
+    for i, (text, n) in enumerate(cases):
+        assert got[i].n_found == n == len(got[i].kinds) and re.sub("[0-9]+", "", got[i].text) == re.sub("[0-9]+", "", text), text
+        assert "4111" not in got[i].text and "10005" not in got[i].text if n else got[i].text == text
+        if n and card in text:
+            assert got[i].text.count(one) == text.count(card)  # linked with the card alone
+
+
 def test_feistel_is_a_permutation(spark):
     F = pseudonyms.F
     out = spark.range(35).select(pseudonyms.feistel(F.col("id"), F.lit(5), F.lit(7), "k", "t").alias("v")).collect()
