@@ -21,7 +21,7 @@ ROUNDS = 10
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "address": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![./-]?[0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![./-]?[0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+",
@@ -180,13 +180,32 @@ def _address(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    iso = m.rlike("^[0-9]{4}-")
-    day = F.when(iso, m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).try_cast("date")
+    """Dates with the year first, or last after day and month in either order.
+
+    With slashes the month comes first and with dots the day, unless only the other order is a date. The pseudonym has
+    the order that was read; parts read with two digits have two, parts read with one have no leading zero.
+    """
+    parts = F.split(m, "[-./]")
+    size = lambda i: F.length(parts[i])
+    read = lambda y, mo, d: F.concat_ws("-", parts[y], F.lpad(parts[mo], 2, "0"), F.lpad(parts[d], 2, "0")).try_cast("date")
+    iso = size(0) == 4
+    month_leads = F.when(F.contains(m, F.lit("/")), read(2, 0, 1).isNotNull()).otherwise(read(2, 1, 0).isNull())
+    day = F.when(iso, read(0, 1, 2)).when(month_leads, read(2, 0, 1)).otherwise(read(2, 1, 0))
     place = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
     new = feistel(place, F.lit(DAYS_LEFT), F.lit(DAYS_RIGHT), key, "date")
-    made = F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")).cast("string")
-    back = F.when(iso, made).otherwise(F.concat(F.substring(made, 9, 2), F.substring(m, 3, 1), F.substring(made, 6, 2), F.substring(m, 3, 1), F.substring(made, 1, 4)))
-    return F.when(place.between(0, DAYS_LEFT * DAYS_RIGHT - 1), back)
+
+    def back(made: Column) -> Column:
+        year, month, dom = (F.date_format(made, f) for f in ("yyyy", "M", "d"))
+        wide = lambda x, i: F.when(size(i) == 2, F.lpad(x, 2, "0")).otherwise(x)
+        sep = F.regexp_extract(m, "[-./]", 0)
+        return (
+            F.when(iso, F.concat_ws("-", year, wide(month, 1), wide(dom, 2)))
+            .when(month_leads, F.concat(wide(month, 0), sep, wide(dom, 1), sep, year))
+            .otherwise(F.concat(wide(dom, 0), sep, wide(month, 1), sep, year))
+        )
+
+    made = _bound(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), back)
+    return F.when(place.between(0, DAYS_LEFT * DAYS_RIGHT - 1), made)
 
 
 def _shifted(part: Column, other: Column, key: str, turn: int) -> Column:

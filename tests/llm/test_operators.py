@@ -191,6 +191,26 @@ def test_pseudonyms_of_cards_beside_other_numbers(spark):
             assert got[i].text.count(one) == text.count(card)  # linked with the card alone
 
 
+def test_pseudonyms_of_dates_in_all_orders(spark):
+    same = ["1990-03-25", "1990-3-25", "03/25/1990", "3/25/1990", "25/03/1990", "25.3.1990", "25.03.1990", "03.25.1990"]
+    both = ["1990-03-05", "3/5/1990", "03/05/1990", "5.3.1990", "05.03.1990"]  # slashes: month first
+    bad = ["13/32/1990", "0/5/1990", "31.2.1990", "1990-13-1", "1/2/1790"]
+    docs = spark.createDataFrame(list(enumerate(same + both + bad)), "doc_id int, text string")
+    got = [(r.n_found, r.text) for r in sorted(pseudonyms.pseudonymised(docs, "k").collect(), key=lambda r: r.doc_id)]
+    assert got[13:] == [(0, t) for t in bad] and all(n == 1 for n, _ in got[:13])
+    for texts, made in ((same, [t for _, t in got[:8]]), (both, [t for _, t in got[8:13]])):
+        y, m, d = map(int, made[0].split("-"))
+        plain = lambda *p: [str(x) for x in p]
+        two = lambda *p: [f"{x:02}" for x in p]
+        for text, out in zip(texts, made):
+            sep = re.search("[-./]", text)[0]
+            parts, shown = text.split(sep), out.split(sep)
+            order = (0, 1, 2) if sep == "-" else (1, 2, 0) if (sep == "/" and texts is both) or parts[1] == "25" else (2, 1, 0)
+            assert [int(x) for x in shown] == ([y, m, d] if order == (0, 1, 2) else [m, d, y] if order == (1, 2, 0) else [d, m, y]), (text, out)
+            assert all(x in (two(int(x)) if len(p) == 2 else plain(int(x))) for p, x in zip(parts, shown) if len(p) < 4), (text, out)
+        assert out != text
+
+
 def test_feistel_is_a_permutation(spark):
     F = pseudonyms.F
     out = spark.range(35).select(pseudonyms.feistel(F.col("id"), F.lit(5), F.lit(7), "k", "t").alias("v")).collect()
