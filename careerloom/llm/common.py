@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from careerloom.session import stored
 
-__all__ = ["stored", "read", "held_out", "words_text", "slices", "word_hashes", "mixed", "rolling", "sha_hex", "spans_of"]
+__all__ = ["stored", "read", "keyed_texts", "held_out", "words_text", "slices", "word_hashes", "mixed", "rolling", "sha_hex", "spans_of"]
 
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
@@ -27,6 +27,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def keyed_texts(docs: DataFrame, no_id: int) -> tuple[DataFrame, list[str]]:
+    """(doc_id, text) with ``no_id`` for null ids, and the columns that name a row's text.
+
+    These are the id, and, if rows share an id but not the text, also ``tag``, a digest of the text. Equal rows share
+    their key.
+    """
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)).alias("doc_id"), "text")
+    shared = texts.select("doc_id", digest.alias("tag")).groupBy("doc_id").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"))
+    if shared.where("lo <> hi").isEmpty():
+        return texts, ["doc_id"]
+    return texts.withColumn("tag", digest), ["doc_id", "tag"]
+
+
+def earliest(keys: list[str], place: str) -> list[Column]:
+    """Aggregates for the least key and its ``place``."""
+    order = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    return [F.min(keys[0]).alias(keys[0]), *[F.min_by(c, order).alias(c) for c in [*keys[1:], place]]]
+
+
 def slices(lengths: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive (from, to) row ranges of at most ``most`` bytes, or of one row."""
     ends = np.cumsum(lengths)

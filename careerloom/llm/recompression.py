@@ -7,10 +7,11 @@ of k words picks one bound that lies deep enough inside it, by the least fingerp
 pick the same. Spark counts the names of the picked places over all documents; windows whose place is named once occur
 once. The others are candidates, compared by the fingerprint of all their words, and the earliest of equal windows is
 found by an aggregate. What a document has to know, which of its places are unique and which windows are first, goes
-back to it by id; texts move once.
+back to it by its key; texts move once.
 
-Null and blank texts have no words: nothing is removed and the kept text is empty. Rows that repeat an id count as one
-document, and null ids as one that comes before all others. Long runs of one word and texts without a bound inside a
+Null and blank texts have no words: nothing is removed and the kept text is empty. Rows equal in id and text count as one
+document; rows that share an id but not the text are documents of their own, in the order of a digest of the text. Null
+ids come before all others. Long runs of one word and texts without a bound inside a
 window are handled by making their windows candidates outright. Extra columns are not read.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careerloom.llm.common import mixed, rolling, slices, text_bytes, word_hashes
+from careerloom.llm.common import earliest, keyed_texts, mixed, rolling, slices, text_bytes, word_hashes
 
 #: Words of a window, rounds of run and pair naming, and words on either side that a bound may depend on.
 WINDOW, ROUNDS, RADIUS = 20, 2, 6
@@ -137,21 +138,22 @@ def _per_text(batch: pa.RecordBatch, k: int):
         yield a, b, own, (starts, ends), windows_of(hashes, rows, k)
 
 
-def places(docs: DataFrame, k: int) -> DataFrame:
-    """(key, doc_id, at): the picked places of every document with their names."""
+def places(docs: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(key, row key, at): the picked places of every document with their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids = [batch.column(c).to_numpy() for c in keys]
             for a, _, _, _, w in _per_text(batch, k):
                 at, which = np.unique(w.place, return_index=True)
                 at, which = at[at >= 0], which[at >= 0]
                 row = w.row[which]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.key[at].view(np.int64)), pa.array(ids[a + row]), pa.array((at - w.rows[row]).astype(np.int32))], ["key", "doc_id", "at"]
+                    [pa.array(w.key[at].view(np.int64)), *[pa.array(x[a + row]) for x in ids], pa.array((at - w.rows[row]).astype(np.int32))],
+                    ["key", *keys, "at"],
                 )
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int")
+    return docs.mapInArrow(run, f"key long, {' long, '.join(keys)} long, at int")
 
 
 def _candidates(w: Windows, unique: pa.Array, a: int, b: int) -> np.ndarray:
@@ -173,25 +175,25 @@ def _names(w: Windows, chosen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return one, two, first
 
 
-def candidate_windows(docs: DataFrame, k: int) -> DataFrame:
-    """(one, two, doc_id, start): fingerprints of the candidate windows, each once per document."""
+def candidate_windows(docs: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(one, two, row key, start): fingerprints of the candidate windows, each once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids = [batch.column(c).to_numpy() for c in keys]
             for a, b, _, _, w in _per_text(batch, k):
-                chosen = _candidates(w, batch.column(2), a, b)
+                chosen = _candidates(w, batch.column("unique"), a, b)
                 one, two, first = _names(w, chosen, k)
                 row = w.row[chosen][first]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(one[first].view(np.int64)), pa.array((two[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(ids[a + row]), pa.array((w.start[chosen][first] - w.rows[row]).astype(np.int32)),
+                        *[pa.array(x[a + row]) for x in ids], pa.array((w.start[chosen][first] - w.rows[row]).astype(np.int32)),
                     ],
-                    ["one", "two", "doc_id", "start"],
+                    ["one", "two", *keys, "start"],
                 )
 
-    return docs.mapInArrow(run, "one long, two int, doc_id long, start int")
+    return docs.mapInArrow(run, f"one long, two int, {' long, '.join(keys)} long, start int")
 
 
 def without_repeats(docs: DataFrame, k: int) -> DataFrame:
@@ -233,12 +235,12 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """
     if k < 2 * RADIUS + 2:
         raise ValueError(f"windows have at least {2 * RADIUS + 2} words")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    named = places(texts, k).groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
-    unique = named.where("times = 1").groupBy("doc_id").agg(F.collect_list("at").alias("unique"))
-    # always by a shuffle on the id: the two passes below read the same exchange of texts
-    known = texts.join(unique.hint("merge"), "doc_id", "left")
-    windows = candidate_windows(known, k).groupBy("one", "two").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"))
-    first = windows.groupBy("doc_id").agg(F.collect_list("start").alias("first"))
-    out = without_repeats(known.join(first.hint("merge"), "doc_id", "left").select("doc_id", "text", "unique", "first"), k)
+    texts, keys = keyed_texts(docs, NO_ID)
+    named = places(texts, k, keys).groupBy("key").agg(F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in [*keys, "at"]])
+    unique = named.where("times = 1").groupBy(*keys).agg(F.collect_list("at").alias("unique"))
+    # always by a shuffle on the key: the two passes below read the same exchange of texts
+    known = texts.join(unique.hint("merge"), keys, "left").select("doc_id", "text", *keys[1:], "unique")
+    windows = candidate_windows(known, k, keys).groupBy("one", "two").agg(*earliest(keys, "start"))
+    first = windows.groupBy(*keys).agg(F.collect_list("start").alias("first"))
+    out = without_repeats(known.join(first.hint("merge"), keys, "left").select("doc_id", "text", "unique", "first"), k)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

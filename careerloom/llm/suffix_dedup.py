@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careerloom.llm.common import mixed, powers, slices, spans_of, stored, text_bytes
+from careerloom.llm.common import earliest, keyed_texts, mixed, powers, slices, spans_of, stored, text_bytes
 from careerloom.llm.recompression import NO_ID, sliding_least
 
 #: Bytes of a string, of an anchor gram, and ranges that offsets are put in.
@@ -93,43 +93,43 @@ def _per_text(batch: pa.RecordBatch, k: int):
         yield a, b, own, bounds, classes_of(own, bounds, k)
 
 
-def class_rows(docs: DataFrame, k: int) -> DataFrame:
-    """(core, whole, doc_id, code, times): the classes of every document, equal ones of a document once."""
+def class_rows(docs: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(core, whole, row key, code, times): the classes of every document, equal ones of a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids = [batch.column(c).to_numpy() for c in keys]
             for a, _, _, _, c in _per_text(batch, k):
                 order = np.lexsort((c.code, c.whole, c.core, c.row))
                 row, core, whole = c.row[order], c.core[order], c.whole[order]
                 new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(core) != 0) | (np.diff(whole) != 0))[: len(order)])
                 times = np.diff(np.append(new, len(order)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core[new].view(np.int64)), pa.array(whole[new].view(np.int64)), pa.array(ids[a + row[new]]), pa.array(c.code[order][new].astype(np.int64)), pa.array(times.astype(np.int32))],
-                    ["core", "whole", "doc_id", "code", "times"],
+                    [pa.array(core[new].view(np.int64)), pa.array(whole[new].view(np.int64)), *[pa.array(x[a + row[new]]) for x in ids], pa.array(c.code[order][new].astype(np.int64)), pa.array(times.astype(np.int32))],
+                    ["core", "whole", *keys, "code", "times"],
                 )
 
-    return docs.mapInArrow(run, "core long, whole long, doc_id long, code long, times int")
+    return docs.mapInArrow(run, f"core long, whole long, {' long, '.join(keys)} long, code long, times int")
 
 
-def texts_of_kinds(docs: DataFrame, k: int) -> DataFrame:
-    """(core, doc_id, code, single, bytes): the bytes of each kind that ``docs`` (doc_id, text, kinds) lists."""
+def texts_of_kinds(docs: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(core, row key, code, single, many, bytes): the bytes of each kind that ``docs`` (doc_id, text, kinds) lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, listed = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids, listed = [batch.column(c).to_pylist() for c in keys], batch.column("kinds").to_pylist()
             for a, _, own, bounds, c in _per_text(batch, k):
                 place = {(r, code): i for i, (r, code) in enumerate(zip(c.row.tolist(), c.code.tolist()))}
                 out: list[tuple] = []
                 for r in range(len(bounds) - 1):
                     for kind in listed[a + r] or ():
                         i = place[r, kind["code"]]
-                        out.append((kind["core"], ids[a + r], kind["code"], kind["single"], kind["many"], own[c.low[i] : c.high[i] + k].tobytes()))
-                cols = list(zip(*out)) if out else [()] * 6
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], ["core", "doc_id", "code", "single", "many", "bytes"])
+                        out.append((kind["core"], *[x[a + r] for x in ids], kind["code"], kind["single"], kind["many"], own[c.low[i] : c.high[i] + k].tobytes()))
+                types = [pa.int64(), *[pa.int64()] * len(keys), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+                cols = list(zip(*out)) if out else [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], ["core", *keys, "code", "single", "many", "bytes"])
 
-    return docs.mapInArrow(run, "core long, doc_id long, code long, single boolean, many boolean, bytes binary")
+    return docs.mapInArrow(run, f"core long, {' long, '.join(keys)} long, code long, single boolean, many boolean, bytes binary")
 
 
 def suffix_order(flat: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,20 +168,21 @@ def repeated_starts(texts: list[bytes], k: int) -> list[np.ndarray]:
     return np.split(previous | following, first[1:])
 
 
-def sorted_hits(kinds: DataFrame, k: int) -> DataFrame:
-    """(doc_id, code, low, high): runs of repeated starts in the single kinds, counted from the first start."""
+def sorted_hits(kinds: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(row key, code, low, high): runs of repeated starts in the single kinds, counted from the first start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def sort() -> pa.RecordBatch:
             out = []
-            for (_, doc, code, single, data), hit in zip(held, repeated_starts([h[4] for h in held], k)):
+            for (_, *doc, code, single, _), hit in zip(held, repeated_starts([h[-1] for h in held], k)):
                 if single and hit.any():
-                    out += [(doc, code, int(lo), int(hi)) for lo, hi in spans_of(hit)]
+                    out += [(*doc, code, int(lo), int(hi)) for lo, hi in spans_of(hit)]
             held.clear()
-            cols = list(zip(*out)) if out else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "code", "low", "high"])
+            names = [*keys, "code", "low", "high"]
+            cols = list(zip(*out)) if out else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names)
 
         size = 0
         for batch in batches:
@@ -190,33 +191,33 @@ def sorted_hits(kinds: DataFrame, k: int) -> DataFrame:
                     yield sort()
                     size = 0
                 held.append(kind)
-                size += len(kind[4])
+                size += len(kind[-1])
         if held:
             yield sort()
 
-    rows = kinds.select("core", "doc_id", "code", "single", "bytes").repartition("core").sortWithinPartitions("core")
-    return rows.mapInArrow(run, "doc_id long, code long, low long, high long")
+    rows = kinds.select("core", *keys, "code", "single", "bytes").repartition("core").sortWithinPartitions("core")
+    return rows.mapInArrow(run, f"{' long, '.join(keys)} long, code long, low long, high long")
 
 
-def counted_hits(kinds: DataFrame, k: int) -> DataFrame:
+def counted_hits(kinds: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """The same for cores of very many kinds: each start is a row, and an aggregate finds the fingerprints that recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for core, doc, code, single, data in zip(*[c.to_pylist() for c in batch.columns]):
+            for _, *doc, code, single, data in zip(*[c.to_pylist() for c in batch.columns]):
                 flat = np.frombuffer(data, np.uint8)
                 at = np.arange(len(flat) - k + 1)
                 one, two = (interval(prefix_sums(flat, w), at, at + k, w).view(np.int64) for w in (0, 1))
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one), pa.array(two), pa.array(np.full(n, doc)), pa.array(np.full(n, code)), pa.array(at), pa.array(np.full(n, single))],
-                    ["one", "two", "doc_id", "code", "at", "single"],
+                    [pa.array(one), pa.array(two), *[pa.array(np.full(n, x)) for x in doc], pa.array(np.full(n, code)), pa.array(at), pa.array(np.full(n, single))],
+                    ["one", "two", *keys, "code", "at", "single"],
                 )
 
-    rows = kinds.select("core", "doc_id", "code", "single", "bytes").mapInArrow(run, "one long, two long, doc_id long, code long, at long, single boolean")
+    rows = kinds.select("core", *keys, "code", "single", "bytes").mapInArrow(run, f"one long, two long, {' long, '.join(keys)} long, code long, at long, single boolean")
     rows = stored(rows, "starts")
     often = rows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("one", "two")
-    return rows.where("single").join(often, ["one", "two"], "left_semi").select("doc_id", "code", F.col("at").alias("low"), (F.col("at") + 1).alias("high"))
+    return rows.where("single").join(often, ["one", "two"], "left_semi").select(*keys, "code", F.col("at").alias("low"), (F.col("at") + 1).alias("high"))
 
 
 def without_repeats(docs: DataFrame, k: int) -> DataFrame:
@@ -258,25 +259,25 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, most_kinds: int = MOST_KIND
 
     A byte goes if it lies in a string of ``k`` bytes that also starts anywhere else; strings are judged on the input.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    rows = stored(class_rows(texts, k), "classes")
+    texts, keys = keyed_texts(docs, NO_ID)
+    rows = stored(class_rows(texts, k, keys), "classes")
     cores = rows.groupBy("core").agg(F.sum("times").alias("times")).where("times > 1").select("core")
     shared = stored(rows.join(cores.hint("merge"), "core", "left_semi"), "shared")
-    kinds = shared.groupBy("core", "whole").agg(F.sum("times").alias("times"), F.min("doc_id").alias("doc_id"), F.min_by("code", "doc_id").alias("code"))
+    kinds = shared.groupBy("core", "whole").agg(F.sum("times").alias("times"), *earliest(keys, "code"))
     kinds = stored(kinds, "kinds")
     mixed_cores = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     to_compare = kinds.join(mixed_cores.hint("merge"), "core").select(
-        "doc_id", F.struct("core", "code", (F.col("times") == 1).alias("single"), (F.col("kinds") > most_kinds).alias("many")).alias("kind")
+        *keys, F.struct("core", "code", (F.col("times") == 1).alias("single"), (F.col("kinds") > most_kinds).alias("many")).alias("kind")
     )
     repeated = shared.join(kinds.where("times > 1").select("core", "whole").hint("merge"), ["core", "whole"], "left_semi")
     by_doc = stored(
-        to_compare.groupBy("doc_id").agg(F.collect_list("kind").alias("kinds")).join(
-            repeated.groupBy("doc_id").agg(F.collect_set("whole").alias("repeated")).hint("merge"), "doc_id", "full"
+        to_compare.groupBy(*keys).agg(F.collect_list("kind").alias("kinds")).join(
+            repeated.groupBy(*keys).agg(F.collect_set("whole").alias("repeated")).hint("merge"), keys, "full"
         ), "by-doc",
     )
-    known = texts.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "kinds", "repeated")
-    compared = stored(texts_of_kinds(known.where("kinds is not null").select("doc_id", "text", "kinds"), k), "kind-texts")
-    hits = sorted_hits(compared.where("not many"), k).unionByName(counted_hits(compared.where("many"), k))
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("code", "low", "high")).alias("hits"))
-    out = without_repeats(known.join(hits.hint("merge"), "doc_id", "left").select("doc_id", "text", "repeated", "hits"), k)
+    known = texts.join(by_doc.hint("merge"), keys, "left").select(*keys, "text", "kinds", "repeated")
+    compared = stored(texts_of_kinds(known.where("kinds is not null").select("doc_id", "text", *keys[1:], "kinds"), k, keys), "kind-texts")
+    hits = sorted_hits(compared.where("not many"), k, keys).unionByName(counted_hits(compared.where("many"), k, keys))
+    hits = hits.groupBy(*keys).agg(F.collect_list(F.struct("code", "low", "high")).alias("hits"))
+    out = without_repeats(known.join(hits.hint("merge"), keys, "left").select("doc_id", "text", "repeated", "hits"), k)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -64,6 +64,37 @@ def test_suffix_dedup_equals_brute_force(odd_frame, odd_docs, most_kinds):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == repeated_bytes(odd_docs)
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark, odd_docs):
+    """Rows with null and repeated ids and unlike texts, as (id, text), and the same in row order under ids of their own."""
+    texts = [t for _, t in odd_docs if t]
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(700)}"
+    long, short = " ".join(word() for _ in range(300)), " ".join(word() for _ in range(60))
+    tail = " ".join(word() for _ in range(40))
+    rows = [(None, long), (None, short + " " + tail), (7, tail + " end"), (7, long[:600] + " x"), (8, short), (8, texts[14]), (9, texts[15])]
+    rows += [(20 + i // 3, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [(r.doc_id, r.text) for r in sorted(frame.selectExpr("*", "xxhash64(text) AS h").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
+    return frame.repartition(2), list(dict.fromkeys(order))
+
+
+def test_recompression_of_rows_that_share_ids(shared_ids):
+    frame, order = shared_ids
+    want = repeated_words([(i, t) for i, (_, t) in enumerate(order)])
+    got = {(r.doc_id, *(r.n_words, r.n_removed, r.kept_sha256)) for r in recompression.remove_repeats(frame).collect()}
+    assert got == {(order[i][0], *w) for i, w in want.items()}
+
+
+@pytest.mark.parametrize("most_kinds", [suffix_dedup.MOST_KINDS, 1])
+def test_suffix_dedup_of_rows_that_share_ids(spark, shared_ids, most_kinds):
+    _, order = shared_ids
+    frame = spark.createDataFrame(order, "doc_id long, text string").repartition(2)
+    want = repeated_bytes([(i, t) for i, (_, t) in enumerate(order)])
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame, most_kinds=most_kinds).collect()}
+    assert got == {(order[i][0], *w) for i, w in want.items()}
+
+
 def test_suffix_order_is_lexicographic():
     rng = np.random.default_rng(2)
     flat = rng.integers(97, 99, 400).astype(np.uint8)
