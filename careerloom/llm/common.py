@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from careerloom.session import stored
 
-__all__ = ["stored", "read", "keyed_texts", "held_out", "words_text", "slices", "word_hashes", "mixed", "rolling", "sha_hex", "spans_of"]
+__all__ = ["stored", "read", "keyed_texts", "numbered", "held_out", "words_text", "slices", "word_hashes", "mixed", "rolling", "sha_hex", "spans_of"]
 
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
@@ -47,6 +47,11 @@ def earliest(keys: list[str], place: str) -> list[Column]:
     return [F.min(keys[0]).alias(keys[0]), *[F.min_by(c, order).alias(c) for c in [*keys[1:], place]]]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` of each row's own, stored, so that every reader sees the same numbers."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def slices(lengths: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive (from, to) row ranges of at most ``most`` bytes, or of one row."""
     ends = np.cumsum(lengths)

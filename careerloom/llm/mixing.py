@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careerloom.llm.common import stored, words_text
+from careerloom.llm.common import numbered, stored, words_text
 
 #: Weights dealt to the sources in order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -68,15 +68,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(
     docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
-    most: int = MOST_EPOCHS, seed: int = 20,
+    most: int = MOST_EPOCHS, seed: int = 20, also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+    """(doc_id, source, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source), and its columns ``also``.
 
     Whole epochs take every document; the last one takes documents in the order of a keyed hash until the source's
     target is met, and cuts inside the document that crosses it. Reruns and other partitionings give the same mix:
     the order depends on ids and sizes alone.
     """
-    rows = docs.select("doc_id", "source", (words_text() if size is None else size).alias("size"))
+    rows = docs.select("doc_id", "source", (words_text() if size is None else size).alias("size"), *also)
     rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
     placed = stored(running_sum(rows, "source", ["_key", "doc_id", "size"], "size", "_sum"), "placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -88,7 +88,7 @@ def mix(
     rest = want - epochs * F.col("source_size")
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_sum") - F.col("size"))))
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + partial).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + partial).cast("long").alias("taken"), *also
     )
 
 
@@ -98,9 +98,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Columns stay those of ``docs``; rows of which nothing is taken go. A document cut in the first epoch keeps only
     the words before the cut, joined by single blanks. ``n_chars``, where there is one, follows the text.
     """
-    taken = mix(docs, **options).groupBy("doc_id", "size").agg(F.max("taken").alias("_taken"))
-    sized = docs.withColumn("_size", words_text())
-    joined = sized.join(taken.withColumnsRenamed({"doc_id": "_id", "size": "_of"}), (F.col("doc_id") == F.col("_id")) & (F.col("_size") == F.col("_of")))
+    rows = numbered(docs)
+    taken = mix(rows, also=("_row",), **options).select("_row", F.col("taken").alias("_taken"), F.col("size").alias("_size"))
+    joined = rows.join(taken, "_row")
     part = F.pmod(F.col("_taken"), F.col("_size"))
     copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), F.lit(0)), F.lit(1), part.cast("int")), " ")

@@ -83,18 +83,19 @@ def statistics_of(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     }
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, one double per statistic) for every row of ``docs`` (doc_id, text)."""
+def with_statistics(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns ``also``, one double per statistic) for every row of ``docs`` (doc_id, text)."""
+    columns = ["doc_id", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = text_bytes(batch.column(1))
             for a, b in slices(np.diff(offsets)):
                 made = statistics_of(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(made[n], pa.float64()) for n in STATISTICS]], ["doc_id", *STATISTICS])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in columns], *[pa.array(made[n], pa.float64()) for n in STATISTICS]], [*columns, *STATISTICS])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} double" for n in STATISTICS))
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.select("doc_id", "text", *also).mapInArrow(run, f"{kinds}, " + ", ".join(f"{n} double" for n in STATISTICS))
 
 
 #: A test: (statistic, threshold, whether the value must be above it). A rule is a tuple of tests.
@@ -155,10 +156,10 @@ def learn(rows: DataFrame, most: int = TRAINING_ROWS, seed: int = 9) -> RuleMode
     return RuleModel(fit.intercept, {r: w for r, w in zip(rules, fit.coefficients.toArray().tolist()) if abs(w) > 1e-9})
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``; held-out ids are never learned from."""
-    stats = stored(with_statistics(docs), "statistics")
+def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = 0.7, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs``, and its columns ``also``; held-out ids are never learned from."""
+    stats = stored(with_statistics(docs, also), "statistics")
     known = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("label"))
     model = learn(stats.where(~held_out()).join(known, F.col("doc_id") == F.col("_id")).drop("_id"))
     score = F.round(model.score(), 9)
-    return stats.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= accept).cast("int").alias("predicted"))
+    return stats.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= accept).cast("int").alias("predicted"), *also)

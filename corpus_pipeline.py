@@ -10,28 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerloom.llm import bpe, exact_dedup, jaccard, mixing, quality
-from careerloom.llm.common import read, stored
+from careerloom.llm.common import numbered, read, stored
 from careerloom.llm.queries import vocabulary_path
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is listed."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the numbered ``docs`` whose ``_row`` is listed: ids may be null, repeat, or stand for several texts."""
+    return docs.join(rows.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return _keep(docs, quality.quality_scores(docs, read(spark, sf_dir, "labels")).where("predicted = 1"))
+    docs = numbered(docs)
+    return _keep(docs, quality.quality_scores(docs, read(spark, sf_dir, "labels"), also=("_row",)).where("predicted = 1"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _keep(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    """One document of each group of equal texts; of rows that share the kept id and length, the first by text digest."""
+    docs = numbered(docs)
+    digest = F.sha2(exact_dedup.normalised().cast("binary"), 256)
+    length = F.length(F.coalesce("text", F.lit("")))
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    order = F.struct((-length).alias("length"), F.xxhash64("text").alias("digest"), F.col("_row").alias("row"))
+    rows = docs.select("doc_id", digest.alias("sha"), "_row", order.alias("order"))
+    rows = rows.groupBy("doc_id", "sha").agg(F.min("order").alias("order"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
+    return _keep(docs, rows.select(F.col("order.row").alias("_row")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of near-equal shingle sets connect: the one with the smallest id."""
-    return _keep(docs, jaccard.components(docs, **jaccard.NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each group that links of near-equal shingle sets connect: the one with the smallest id, nulls last."""
+    docs = numbered(docs)
+    found = jaccard.components(docs.select(F.col("_row").alias("doc_id"), "text"), **jaccard.NEAR)
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), F.col("_row").alias("row"))
+    placed = docs.select("_row", order.alias("order")).join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    return _keep(docs, placed.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.row").alias("_row")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,34 @@ def test_stages(spark, tmp_path):
     assert abs(mixed - 1.5 * sum(sizes.values())) <= 2
     assert tables[5].count() == len(listed[4])
     assert spark.createDataFrame([], "a int").count() == 0 and corpus_pipeline.run(spark, str(tmp_path)).count() == len(listed[4])
+
+
+def test_rows_with_null_repeated_and_shared_ids(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(n))
+    spoiled = lambda t: " ".join(w + "$$$" for w in t.split())
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], schema).repartition(2)
+    listed = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    learn = [(i, text(60) if i % 5 else spoiled(text(60)), "s0") for i in range(150)]
+    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    a, b, c, d = (text(90) for _ in range(4))
+    odd = [(None, a, "s0"), (None, b, "s0"), (None, spoiled(c), "s0"), (300, d, "s0"), (300, spoiled(d), "s0"), (300, d, "s0")]
+    good = listed(corpus_pipeline.quality_stage(spark, frame(learn + odd), str(tmp_path)))
+    assert [x for x in good if x[0] is None or x[0] >= 150] == sorted([(None, a), (None, b), (300, d), (300, d)], key=str)
+
+    rows = [(None, a), (None, a), (1, b), (1, b), (1, c), (2, c + " "), (3, d), (3, d.replace(" ", "\n")), (None, None)]
+    once = corpus_pipeline.exact_stage(spark, frame([(*r, "s0") for r in rows]), str(tmp_path))
+    got = listed(once)
+    assert len(got) == 5 and [x for x in got if x[0] != 3] == sorted([(None, None), (None, a), (1, b), (2, c + " ")], key=str)
+
+    rows = [(None, a), (5, a + " tail"), (6, b), (6, b + " tail"), (6, d), (4, d + " tail"), (None, c), (None, c + " tail")]
+    near = listed(corpus_pipeline.near_stage(spark, frame([(*r, "s0") for r in rows]), str(tmp_path)))
+    assert len(near) == 4 and {(4, d + " tail"), (5, a + " tail")} < set(near)
+    assert sum(i == 6 for i, _ in near) == sum(i is None for i, _ in near) == 1
+
+    rows = [(7, a, "s0")] * 5 + [(None, b, "s0"), (8, c, "s1"), (8, d, "s1"), (8, text(90), "s0")]
+    docs = frame(rows)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()
+    want = sum(r.taken for r in corpus_pipeline.mixing.mix(docs).collect())
+    assert sum(len(r.text.split()) for r in mixed) == want > 0 and any(r.doc_id is None for r in mixed)
