@@ -49,13 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read back.
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The table written to the shared folder, with the writer's ``options``, and read back.
 
     Used where several branches of a plan start from one costly table: it is
     computed once, a lost executor costs no recomputation of it, and the plans
     after it stay small.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
