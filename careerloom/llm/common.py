@@ -111,14 +111,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes with A-Z lower-cased; taken by ``LOWER[flat]``.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_hashes(flat: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit fingerprints of the words of many texts: (hashes, starts, ends, first word of each row, and one past the last).
 
-    Words are maximal runs of bytes other than the six ASCII blanks; a word never crosses a row.
+    Words are maximal runs of bytes that are not ``blank`` (the six ASCII blanks at least); a word never crosses a row.
     """
     n = len(flat)
     inside = np.zeros(n + 1, bool)
-    np.logical_not(_SPACE[flat], out=inside[:n])
+    np.logical_not(blank[flat], out=inside[:n])
     begins = inside[:n].copy()
     begins[1:] &= ~inside[: n - 1]
     edges = offsets[1:-1]
@@ -133,10 +138,32 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     closes[n - 1] = inside[n - 1]
     ends = np.flatnonzero(closes) + 1
     up, down = powers(n)
-    sums = np.add.reduceat(_byte_values()[flat] * up, starts)
+    sums = np.add.reduceat(np.where(blank, np.uint64(0), _byte_values())[flat] * up, starts)
     return mixed(sums * down[starts]), starts, ends, rows
 
 
+def substrings(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """String array of the byte ranges of ``flat``."""
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    data = flat[np.repeat(starts - bounds[:-1], ends - starts) + np.arange(bounds[-1])]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).cast(pa.string())
+
+
+def term_lists(flat: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of many texts and where they stand: (terms, list starts, places, first word of each row).
+
+    ``places`` has the numbers of all words, grouped by term and ascending within one; ``list starts`` has one entry
+    more than there are terms.
+    """
+    hashes, starts, ends, rows = word_hashes(flat, offsets, blank)
+    places = np.argsort(hashes, kind="stable")
+    ranked = hashes[places]
+    begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)])
+    first = places[begins]
+    return substrings(flat, starts[first], ends[first]), np.append(begins, len(places)), places, rows
+
+
 def rolling(values: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     """Fingerprint of every ``k`` consecutive values (rows are not told apart)."""
     n = len(values)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import string
 from collections import Counter
 
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 BLANKS = " \t\n\r\v\f"
 
 
@@ -68,3 +71,50 @@ def equal_texts(docs):
         t = t or ""
         groups.setdefault("".join(c for c in t if c not in BLANKS), []).append((-len(t), i))
     return {i: (min(g)[1], len(g), min(g)[1] == i, sha(n.encode())) for n, g in groups.items() for _, i in g}
+
+
+def benchmark_hits(docs, items, k=10, reach=20):
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every document."""
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        for j in range(max(1, len(w) - k + 1) if w else 0):
+            windows.setdefault(tuple(w[j : j + k]), set()).add(i)
+    rarity = Counter(x for _, t in docs for x in words(t))
+    out = []
+    for i, t in docs:
+        w = words(t)
+        hit, near, found = [False] * len(w), set(), set()
+        for g, ids in windows.items():
+            for j in range(len(w) - len(g) + 1):
+                if tuple(w[j : j + len(g)]) == g:
+                    hit[j : j + len(g)] = [True] * len(g)
+                    found |= ids
+            rarest = min(range(len(g)), key=lambda a: (rarity[g[a]], a))
+            near |= {p for p, x in enumerate(w) if x == g[rarest] and set(g) <= set(w[max(0, p - reach) : p + reach + 1])}
+        near = sum(not hit[p] for p in near)
+        shown = ",".join(sorted(str(x) for x in found if x is not None))
+        out.append((i, len(w), sum(hit), len(found), sha(shown.encode()), any(hit), near))
+    return out
+
+
+def audit_rows(docs, least=30, top=50):
+    """Rows of the source divergence audit of (text, lang, source)."""
+    counts, held, out = {}, Counter(), []
+    for t, lang, source in docs:
+        w = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+        counts.setdefault((lang or "", source or ""), Counter()).update(w)
+        held.update((lang or "", x) for x in set(w))
+    for lang in {g[0] for g in counts}:
+        kept = [x for (a, x), n in held.items() if a == lang and n >= least]
+        own = {s: Counter({x: c[x] for x in kept}) for (a, s), c in counts.items() if a == lang}
+        price = lambda c: {x: 1 + 10**9 * (c[x] + 5) // (sum(c[y] for y in kept) + 5 * len(kept)) for x in kept}
+        p, q = {s: price(c) for s, c in own.items()}, price(sum(own.values(), Counter()))
+        for s in own:
+            pairs = [(sum(abs(p[s][x] - p[o][x]) for x in kept), o) for o in own if o != s]
+            terms = [(p[s][x] - q[x], x) for x in kept if own[s][x] and p[s][x] > q[x]]
+            for part, rows, most in (("pair", pairs, None), ("term", terms, top)):
+                rows.sort(key=lambda r: (-r[0], r[1].encode()))
+                out += [(lang, s, part, item, value, n) for n, (value, item) in enumerate(rows[:most], 1)]
+    return sorted(out)
