@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from careerloom.functions import fixed_values as fx
 from careerloom.operators.education import bachelors_flag, categorise_major, clean_major
-from careerloom.operators.relational import columns_like, enrich, in_keys, keep_first, rename, sample_n
+from careerloom.operators.relational import Skew, columns_like, enrich, in_keys, keep_first, measure_skew, rename, sample_n
 from careerloom.operators.titles import work_role_flags
+from careerloom.session import stored_by
 
 
 def restrict_experience(exp: DataFrame, edu: DataFrame) -> DataFrame:
@@ -23,22 +24,41 @@ def _renamed(df: DataFrame, other: DataFrame, suffix: str) -> DataFrame:
     return df.withColumnsRenamed({c: c + suffix for c in shared})
 
 
-def join_experience_education(exp: DataFrame, edu: DataFrame) -> DataFrame:
+def _of_hot_members(jobs: DataFrame, degrees: DataFrame, pieces: int) -> DataFrame:
+    """The join for members with very many jobs: the jobs are cut into pieces, and each degree meets every piece."""
+    cut = jobs.withColumn("_piece", F.pmod(F.xxhash64(*jobs.columns), F.lit(pieces)).cast("int"))
+    every = degrees.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return cut.join(every, ["member_id", "_piece"]).drop("_piece")
+
+
+def join_experience_education(exp: DataFrame, edu: DataFrame, skew: Skew | None = None) -> DataFrame:
     """Every job of a member beside every degree, repeats on nine columns dropped.
 
     The nine columns split into five of the job and four of the degree, so the
     repeats can be dropped on each side before the join with the same result;
-    the join then never multiplies duplicates by duplicates.  Both join inputs
-    are plain shuffles, which lets AQE split a member with very many jobs.
+    the join then never multiplies duplicates by duplicates.  Both sides are
+    stored in buckets of the member, which the five and the four contain: one
+    shuffle a side, and none for dropping repeats or joining.  Members that
+    hold more than a small share of the jobs (``skew``; measured if not given)
+    stay out of the buckets: their repeats are dropped by all key columns, and
+    their jobs are cut into pieces.
     """
     jobs, degrees = _renamed(exp, edu, "_experience"), _renamed(edu, exp, "_education")
     job_keys, degree_keys = (
         [k for k in keys if k in side.columns] for keys, side in zip(fx.JOB_EDUCATION_KEYS, (jobs, degrees))
     )
     known = F.col("member_id").isNotNull()
-    first_job = keep_first(jobs.where(known), job_keys)
-    first_degree = keep_first(degrees.where(known), degree_keys)
-    return first_job.join(first_degree, "member_id")
+    skew = skew or measure_skew(jobs.where(known), "member_id")
+    hot = F.col("member_id").isin(*skew.values)
+    first_job, first_degree = (
+        keep_first(stored_by(side.where(known & ~hot), "member_id", name), keys)
+        for side, keys, name in ((jobs, job_keys, "jobs"), (degrees, degree_keys, "degrees"))
+    )
+    joined = first_job.join(first_degree, "member_id")
+    if not skew.found:
+        return joined
+    hot_jobs, hot_degrees = keep_first(jobs.where(hot), job_keys), keep_first(degrees.where(hot), degree_keys)
+    return joined.unionByName(_of_hot_members(hot_jobs, hot_degrees, skew.pieces))
 
 
 def flag_columns(df: DataFrame, of: DataFrame | None = None) -> list[str]:
@@ -64,9 +84,9 @@ def time_window_flags(panel: DataFrame, cols: Sequence[str], years: Sequence[int
     return panel.withColumns({f"{c}_{name}": F.col(c) & test for c in cols for name, test in tests.items()})
 
 
-def job_level(exp: DataFrame, edu: DataFrame, years: Sequence[int] = fx.WINDOW_YEARS) -> DataFrame:
+def job_level(exp: DataFrame, edu: DataFrame, years: Sequence[int] = fx.WINDOW_YEARS, skew: Skew | None = None) -> DataFrame:
     """Job x degree rows with work roles and window flags."""
-    joined = work_role_flags(join_experience_education(exp, edu))
+    joined = work_role_flags(join_experience_education(exp, edu, skew))
     return time_window_flags(joined, flag_columns(joined, exp), years)
 
 

@@ -82,9 +82,9 @@ def scored(spark, sf):
 def career_jobs(spark, sf):
     """The spine: cleaned degrees, restricted and flagged jobs with founding years, joined and windowed."""
     edu = clean_edu(spark, sf)
-    exp = stored(panel.restrict_experience(experience(spark, sf), edu), "base-experience")
-    exp = companies.founding_year(titles.founder_owner_flags(titles.dated(exp)), load(spark, sf, "companies"), HOST)
-    return panel.job_level(exp, edu)
+    base = stored(panel.restrict_experience(experience(spark, sf), edu), "base-experience")
+    exp = companies.founding_year(titles.founder_owner_flags(titles.dated(base)), load(spark, sf, "companies"), HOST)
+    return panel.job_level(exp, edu, skew=rel.measure_skew(base, "member_id"))
 
 
 def clean_universities(spark, sf):
@@ -280,7 +280,9 @@ def company_scores_joined(spark, sf):
 @query
 def exp_edu_join(spark, sf):
     """C23 J1 W2"""
-    return panel.join_experience_education(experience(spark, sf), all_edu(spark, sf)).select(
+    exp = experience(spark, sf)
+    skew = rel.measure_skew(exp.where("member_id is not null"), "member_id")
+    return panel.join_experience_education(exp, all_edu(spark, sf), skew).select(
         "id_experience", "id_education", "member_id", "title_experience", "title_education", "company_name",
         "company_url", "date_from_experience", "date_to_experience", "unitid", "year_from", "year_to",
     )

@@ -59,3 +59,18 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The table stored in buckets of ``key``, sorted by it inside each.
+
+    One shuffle, at the writing.  Windows and aggregates over keys that contain
+    ``key``, and joins of two such tables on it, then need none.  The table is
+    an external one below the shared folder; its name is of this session only.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet").option("path", scratch_path(spark, name))
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)

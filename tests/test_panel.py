@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from careerloom.functions import fixed_values as fx
 from careerloom.operators import education, panel
+from careerloom.operators.relational import Skew, measure_skew
 from careerloom.plans import catalogue
 from conftest import rows
 
@@ -49,6 +50,28 @@ def test_dedupe_before_the_join_equals_dedupe_after(spark):
     assert got == [(1, 10), (1, 12), (3, 10), (3, 12)]
 
 
+def test_spine_shuffles_once_a_side_and_splits_hot_members(spark, capsys):
+    jobs = [(i, 7 if i % 3 else i, f"t{i % 50}", f"c{i % 90}", "u", "1", "2") for i in range(600)] + [(900, None, "t", "c", "u", "1", "2")]
+    degrees = [(i, 7 if i < 4 else i, f"s{i % 3}", "x", "1", "2", i % 2) for i in range(40)]
+    exp = spark.createDataFrame(jobs, "id long, member_id long, title string, company_name string, company_url string, date_from string, date_to string")
+    edu = spark.createDataFrame(degrees, "id long, member_id long, title string, subtitle string, date_from string, date_to string, unitid int")
+    one, two = {}, {}
+    for i, m, *rest in jobs:
+        one.setdefault((m, rest[0], *rest[2:]), []).append((rest[1], i))
+    for i, m, *rest in degrees:
+        two.setdefault((m, rest[0], *rest[2:]), []).append((rest[1], i))
+    want = [(min(a)[1], min(b)[1]) for k, a in one.items() for h, b in two.items() if k[0] == h[0] and k[0] is not None]
+    assert measure_skew(exp, "member_id").values == (7,)
+    hot = panel.join_experience_education(exp, edu)
+    plain = panel.join_experience_education(exp, edu, skew=Skew())
+    assert [len(rows(df.select("id_experience", "id_education"))) for df in (hot, plain)] == [len(want)] * 2
+    keys = lambda df: {(r.member_id, r.title_experience, r.unitid, r.title_education) for r in df.collect()}
+    assert keys(hot) == keys(plain) == {(k[0], k[1], h[4], h[1]) for k in one for h in two if k[0] == h[0] and k[0] is not None}
+    capsys.readouterr()
+    plain.explain()
+    assert "Exchange hashpartitioning" not in capsys.readouterr().out
+
+
 def test_major_dummies_sum_to_one(spark):
     majors = ["Computer Science", "second thoughts", "flaw", "Landscape", "Nothing", None, "M.B.A. of x", "mxbxax", "Asian Studies", ""]
     df = spark.createDataFrame([(m,) for m in majors], "university_major_clean string")
