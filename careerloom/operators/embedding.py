@@ -2,45 +2,78 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, StandardScalerModel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerloom.functions.ranks import running_totals
 from careerloom.functions.text import tokens
-from careerloom.operators.relational import enrich, not_in_keys, sample_n
+from careerloom.operators.relational import enrich, hash_bucket, not_in_keys, sample_n
+from careerloom.session import stored
+
+#: Characters of names that one task embeds, at most and at least, and (name, word) pairs it multiplies at a time.
+BLOCK_CHARS, LEAST_CHARS, PAIRS = 1 << 25, 1 << 18, 1 << 15
+#: Partial sums added by one task, and Newton steps (halved ones included) after which a model is taken as it is.
+FAN_IN, MOST_STEPS = 64, 100
+
+
+def _mean_vectors(key: str, size: int):
+    """Sparse counts times dense vectors, for the names and the words of one block."""
+    def multiply(names: pa.Table, words: pa.Table) -> pa.Table:
+        lists = names.column("words").combine_chunks()
+        sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64)
+        known = words.column("word").combine_chunks()
+        code = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)[code >= 0]
+        code = code[code >= 0]
+        dense = words.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+        pair, count = np.unique(row * max(1, len(known)) + code, return_counts=True)
+        row_of, word_of = np.divmod(pair, max(1, len(known)))
+        total = np.zeros((len(sizes), size))
+        for lo in range(0, len(pair), PAIRS):
+            part = slice(lo, lo + PAIRS)
+            starts = np.flatnonzero(np.diff(row_of[part], prepend=-1))
+            total[row_of[part][starts]] += np.add.reduceat(dense[word_of[part]] * count[part, None], starts)
+        mean = total / np.maximum(np.bincount(row, minlength=len(sizes)), 1)[:, None]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * size), pa.array(mean.ravel()))
+        return pa.table([names.column(key), vectors], [key, "embedding"])
+
+    return multiply
 
 
 def embed_names(names: DataFrame, vocab: DataFrame, name: str, size: int, key: str | None = None) -> DataFrame:
     """Mean of the word vectors of each distinct name; zeros when no word is known (M1).
 
     ``vocab`` has ``word`` and ``vec`` of ``size`` numbers.  Words are matched
-    as written.  The vectors are added up by a map-side combined aggregate, and
-    the lookup spreads very common words.  One row without a word per name
-    keeps the names of unknown words alive, so unknown words themselves need
-    not be carried on.  ``key`` is a unique id to carry in place of a long text.
+    as written.  Names are dealt into blocks of about ``BLOCK_CHARS``
+    characters.  A word's vector goes to a block once, however often the block
+    has the word, and a block's means are one product of its word counts with
+    its vectors.  ``key`` is a unique id to carry in place of a long text.
     """
     rows = names.where(F.col(name).isNotNull())
     rows = rows.select(key, name) if key else rows.select(name).distinct()
     key = key or name
-    with_blank = F.concat(tokens(name), F.array(F.lit(None).cast("string")))
-    words = rows.select(key, F.explode(with_blank).alias("word"))
-    known = F.col("vec").isNotNull()
-    found = enrich(words, vocab.select("word", "vec"), "word").where(known | F.col("word").isNull())
-    vec = F.when(known, F.col("vec").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), size))
-    summed = (
-        found.select(key, array_to_vector(vec).alias("v"), known.cast("int").alias("k"))
-        .groupBy(key)
-        .agg(Summarizer.sum(F.col("v")).alias("s"), F.greatest(F.sum("k"), F.lit(1)).alias("k"))
+    total = rows.agg(F.sum(F.length(name))).first()[0] or 0
+    tasks = 2 * names.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, total // BLOCK_CHARS, min(tasks, total // LEAST_CHARS))
+    placed = rows.select(key, tokens(name).alias("words"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    used = placed.select(F.col("block").alias("of_block"), F.explode("words").alias("word")).distinct()
+    found = enrich(used, vocab.select("word", "vec"), "word", how="inner")
+    kind = rows.schema[key].dataType.simpleString()
+    return placed.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(
+        _mean_vectors(key, size), f"`{key}` {kind}, embedding array<double>"
     )
-    return summed.select(key, F.transform(vector_to_array("s"), lambda x: x / F.col("k")).alias("embedding"))
 
 
 def l2_normalised(vec: Column | str) -> Column:
@@ -60,10 +93,11 @@ def train_xy(labels: DataFrame, embeddings: DataFrame, label: str, on: str = "co
 
 @dataclass
 class NameClassifier:
-    """A fitted scaler (or none) and logistic regression."""
+    """A fitted logistic regression on shifted and scaled features: weights, the intercept last."""
 
-    scaler: StandardScalerModel | None
-    model: LogisticRegressionModel
+    shift: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
 
     def score(self, embeddings: DataFrame, probability: str, on: str = "company_name") -> DataFrame:
         """Probability of each name (M8)."""
@@ -71,55 +105,148 @@ class NameClassifier:
         return self.score_features(rows, probability).select(on, probability)
 
     def score_features(self, rows: DataFrame, probability: str) -> DataFrame:
-        if self.scaler is not None:
-            rows = self.scaler.transform(rows).drop("features").withColumnRenamed("scaled", "features")
-        out = self.model.transform(rows)
-        return out.withColumn(probability, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        slope = self.weights[:-1] / self.scale
+        offset = float(self.weights[-1] - slope @ self.shift)
+        weights = F.array(*[F.lit(float(w)) for w in slope])
+        margin = F.aggregate(F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w), F.lit(offset), lambda s, x: s + x)
+        return rows.withColumn(probability, 1 / (1 + F.exp(-margin)))
 
 
-def _regression(n: float, c: float, features: str = "features") -> LogisticRegression:
-    """Penalty weight C in the usual sum-of-losses form: regParam = 1 / (C * n) (M5)."""
-    return LogisticRegression(
-        featuresCol=features, labelCol="y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8
-    )
-
-
-def _scaler(train: DataFrame) -> StandardScalerModel:
-    return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(train)
+@dataclass
+class _Fit:
+    """One model being fitted: the rows it uses, its features' shift and scale, the current and the last accepted weights."""
+
+    rows: str
+    shift: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    accepted: np.ndarray
+    loss: float = math.inf
+    step: np.ndarray | None = None
+    done: bool = False
+
+
+def _partial_sums(fits: list[_Fit], columns: list[str], c: float):
+    """Per partition and model: loss, gradient and second derivatives of the loss, without the penalty."""
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(fits[0].weights)
+        sums = np.zeros((len(fits), 1 + d + d * d))
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, d - 1)
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            used = dict(zip(columns, (batch.column(f"use_{i}").to_numpy(zero_copy_only=False) for i in range(len(columns)))))
+            for at, fit in enumerate(fits):
+                rows = used[fit.rows]
+                z = np.column_stack([(x[rows] - fit.shift) / fit.scale, np.ones(int(rows.sum()))])
+                margin = z @ fit.weights
+                p = 1 / (1 + np.exp(-margin))
+                sums[at, 0] += c * (np.logaddexp(0, margin) - y[rows] * margin).sum()
+                sums[at, 1 : 1 + d] += c * z.T @ (p - y[rows])
+                sums[at, 1 + d :] += c * (z.T @ (z * (p * (1 - p))[:, None])).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([sums.ravel()], pa.list_(pa.float64()))], ["part", "sums"])
+
+    return add_up
+
+
+def _added(table: pa.Table) -> pa.Table:
+    rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+    return pa.table([pa.array([rows[0]["part"]]), pa.array([np.sum([r["sums"] for r in rows], axis=0)], pa.list_(pa.float64()))], ["part", "sums"])
+
+
+def _tree_sum(partials: DataFrame, parts: int) -> np.ndarray:
+    """Sum of one row per partition, in the order of the partitions, ``FAN_IN`` at a time."""
+    width = FAN_IN
+    while parts > 1:
+        partials = partials.groupBy(F.floor(F.col("part") / width)).applyInArrow(_added, "part long, sums array<double>")
+        parts, width = -(-parts // FAN_IN), width * FAN_IN
+    return np.array(partials.first().sums)
+
+
+def _stepped(fit: _Fit, sums: np.ndarray, tolerance: float) -> None:
+    """One Newton step; a step that made the penalised loss larger is halved."""
+    d = len(fit.weights)
+    free = np.append(fit.weights[:-1], 0.0)
+    loss = sums[0] + 0.5 * free @ free
+    if fit.step is not None and loss > fit.loss + 1e-12 * abs(fit.loss):
+        fit.step = fit.step / 2
+    else:
+        fit.accepted, fit.loss = fit.weights, loss
+        second = sums[1 + d :].reshape(d, d) + np.diag(np.append(np.ones(d - 1), 0.0))
+        fit.step = np.linalg.lstsq(second, sums[1 : 1 + d] + free, rcond=None)[0]
+    fit.done = np.abs(fit.step).max() <= tolerance * max(1.0, np.abs(fit.accepted).max())
+    fit.weights = fit.accepted - fit.step
+
+
+def fit_all(train: DataFrame, fits: Mapping[str, tuple[str, bool]], c: float = 1.0, tolerance: float = 1e-9) -> dict[str, NameClassifier]:
+    """Logistic regressions by iteratively reweighted least squares, all in the same passes (M5).
+
+    ``fits`` names each model's condition on the rows of ``train`` (``features``,
+    ``y`` and more) and whether its features are standardised.  The objective is
+    half the squared weights plus ``c`` times the sum of losses; the intercept
+    is free.  A pass gives every open model its gradient and second derivatives,
+    summed over the partitions in a fixed tree; the step itself is a system of
+    one row per feature.  Where all rows of a model are alike, it answers with
+    their label.
+    """
+    conditions = list(dict.fromkeys(rows for rows, _ in fits.values()))
+    used = [F.coalesce(F.expr(r), F.lit(False)).alias(f"use_{i}") for i, r in enumerate(conditions)]
+    rows = stored(train.select(vector_to_array("features").alias("features"), F.col("y").cast("double").alias("y"), *used), "rows")
+    one = F.col("y") == 1
+    vector = array_to_vector("features")
+    facts = rows.agg(F.max(F.size("features")).alias("d"), *[f for i in range(len(conditions)) for f in (
+        F.count_if(f"use_{i}").alias(f"n_{i}"), F.count_if(F.col(f"use_{i}") & one).alias(f"ones_{i}"),
+    )]).first()
+    moments = {}
+    scaled = {conditions.index(r) for r, standardise in fits.values() if standardise and facts[f"n_{conditions.index(r)}"]}
+    if scaled:
+        summary = Summarizer.metrics("mean", "variance")
+        moments = rows.agg(*[summary.summary(vector, F.col(f"use_{i}").cast("double")).alias(str(i)) for i in sorted(scaled)]).first().asDict()
+    open_fits, out = {}, {}
+    for name, (condition, standardise) in fits.items():
+        i = conditions.index(condition)
+        n, ones, d = facts[f"n_{i}"], facts[f"ones_{i}"], facts.d or 0
+        shift, scale = np.zeros(d), np.ones(d)
+        if standardise and n:
+            deviation = np.sqrt(moments[str(i)]["variance"].toArray() * (n - 1) / n)
+            shift, scale = moments[str(i)]["mean"].toArray(), np.where(deviation > 0, deviation, 1.0)
+        if ones in (0, n):
+            out[name] = NameClassifier(shift, scale, np.append(np.zeros(d), math.inf if n and ones == n else -math.inf))
+        else:
+            open_fits[name] = _Fit(condition, shift, scale, np.zeros(d + 1), np.zeros(d + 1))
+    spread = rows.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0
+    for _ in range(MOST_STEPS):
+        at_work = [f for f in open_fits.values() if not f.done]
+        if not at_work:
+            break
+        partials = rows.mapInArrow(_partial_sums(at_work, conditions, c), "part long, sums array<double>")
+        for fit, sums in zip(at_work, _tree_sum(partials, spread + 1).reshape(len(at_work), -1)):
+            _stepped(fit, sums, tolerance)
+    return out | {name: NameClassifier(f.shift, f.scale, f.weights) for name, f in open_fits.items()}
 
 
 def standardised(train: DataFrame) -> DataFrame:
     """``scaled``: features less their mean, over their population deviation; 0 where a feature is constant (M4)."""
     n = train.count()
     factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
-    scaled = _scaler(train).transform(train)
-    return scaled.withColumn("scaled", F.transform(vector_to_array("scaled"), lambda x: x * factor))
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(train)
+    return scaler.transform(train).withColumn("scaled", F.transform(vector_to_array("scaled"), lambda x: x * factor))
 
 
 def fit_classifier(train: DataFrame, c: float = 1.0, standardise: bool = False) -> NameClassifier:
-    """Logistic regression on ``features`` and ``y``, optionally on standardised features (M4, M5).
+    """Logistic regression on ``features`` and ``y``, optionally on standardised features (M4, M5)."""
+    return fit_all(train, {"all": ("true", standardise)}, c)["all"]
 
-    Spark scales by the sample deviation, the rule by the population one.  The
-    constant factor between them only matters through the penalty, so the
-    penalty is scaled instead.
+
+def cross_validated_auc(train: DataFrame, c: float = 1.0, folds: int = 5, on: str = "company_name") -> DataFrame:
+    """``auc_mean`` and ``auc_sd`` (population) over the folds (M7).
+
+    A row's fold is a hash of its name, so it is the same in every run; the
+    models of all folds are fitted in the same passes.
     """
-    n = train.count()
-    if not standardise:
-        return NameClassifier(None, _regression(n, c).fit(train))
-    scaler = _scaler(train)
-    scaled = scaler.transform(train)
-    return NameClassifier(scaler, _regression(n * n / (n - 1), c, "scaled").fit(scaled).setFeaturesCol("features"))
-
-
-def cross_validated_auc(train: DataFrame, c: float = 1.0, folds: int = 5, seed: int = 42) -> tuple[float, float]:
-    """Mean and standard deviation of the AUC over the folds (M7)."""
-    regression = _regression(train.count() * (folds - 1) / folds, c)
-    evaluator = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC")
-    validator = CrossValidator(
-        estimator=regression, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator, numFolds=folds, seed=seed
-    )
-    fitted = validator.fit(train)
-    return fitted.avgMetrics[0], fitted.stdMetrics[0]
+    dealt = stored(train.withColumn("fold", hash_bucket(on, folds)), "folds")
+    models = fit_all(dealt, {str(k): (f"fold <> {k}", False) for k in range(folds)}, c)
+    one_each = [rank_auc(models[str(k)].score_features(dealt.where(F.col("fold") == k), "p"), "p", "y") for k in range(folds)]
+    return reduce(DataFrame.unionByName, one_each).agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_sd"))
 
 
 def rank_auc(scored: DataFrame, score: str, y: str) -> DataFrame:

@@ -77,6 +77,12 @@ def match_type_examples(typed: DataFrame, k: int = 10) -> DataFrame:
     return first_k(typed.select(*cols, "id"), "match_type", k, ["id"])
 
 
+def ambiguous_uses(typed: DataFrame) -> DataFrame:
+    """Experience rows under an ambiguous name: what the report counts and the examples are taken from, to be stored once."""
+    rows = typed.where(F.col("ambiguous_norm_key"))
+    return rows.select("company_name_norm", "company_name", "entity_name_matched", "ambiguous_norm_key", "id")
+
+
 def ambiguous_key_report(entities: DataFrame, typed: DataFrame) -> DataFrame:
     """Ambiguous names with the number of experience rows that use them, most used first."""
     used = (

@@ -112,18 +112,20 @@ def binary_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     # numbers count by value, so that 0.0 and 1.0 of a fractional column are 0 and 1
     real = [f.name for f in df.schema if f.name in cols and isinstance(f.dataType, NumericType) and not isinstance(f.dataType, IntegralType)]
     plain = df.withColumns({c: F.when(F.col(c) == 0, "0").when(F.col(c) == 1, "1").otherwise(F.col(c).cast("string")) for c in real})
-    counts = long_values(plain, cols, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
-    yes = F.col("value").isin(*fx.TRUE_VALUES)
+    # a counter per listed value and one for the rest, so no value is shuffled, however long or many they are
+    listed = plain.select(*[F.when(text.isin(*fx.BINARY_VALUES), text).when(text.isNotNull(), "").alias(c) for c in cols for text in [F.col(c).cast("string")]])
+    counts = long_values(listed, cols, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
+    yes, other = F.col("value").isin(*fx.TRUE_VALUES), F.col("value") == ""
     rows = df.agg(F.count("*")).scalar()
     return (
         counts.groupBy("column")
         .agg(
-            F.count("*").alias("_values"),
-            F.count_if(F.col("value").isin(*fx.BINARY_VALUES)).alias("_known"),
+            F.count_if(other).alias("_others"),
+            F.count_if(~other).alias("_known"),
             F.coalesce(F.sum(F.when(yes, F.col("n"))), F.lit(0)).alias("n_true"),
             F.coalesce(F.sum(F.when(~yes, F.col("n"))), F.lit(0)).alias("n_false"),
         )
-        .where("_values = 2 and _known = 2")
+        .where("_others = 0 and _known = 2")
         .select("column", "n_true", "n_false", (share(F.col("n_true"), rows) * 100).alias("pct_true"))
     )
 

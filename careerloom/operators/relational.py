@@ -31,6 +31,8 @@ HOT_SHARE = 1 / 256
 #: Keys the frequency sketch reports, and counters it keeps: with 8192 counters
 #: its error is below a tenth of a percent of the rows, so no hot key escapes.
 SKETCH_KEYS, SKETCH_COUNTERS = 256, 8192
+#: Rows per key up to which Spark limits the groups of a window before its shuffle, and buckets of a key beyond that.
+GROUP_LIMIT, BUCKETS = 1000, 256
 #: Leading hexadecimal digits by which ``sample_n`` finds where its rows end.
 CUT_DIGITS = 4
 
@@ -217,9 +219,22 @@ def _order(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] | N
 
 
 def first_k(df: DataFrame, keys: str | Sequence[str], k: int, order: Sequence[Column | str] | None = None) -> DataFrame:
-    """First k rows per key under a full order (W2, W6, W10, T4); null keys form a group."""
+    """First k rows per key under a full order (W2, W6, W10, T4); null keys form a group.
+
+    Up to ``GROUP_LIMIT`` rows Spark limits each task's groups before the
+    shuffle.  For a larger k each key is first dealt over buckets by a hash of
+    the row and every bucket keeps its first k, so the rows of a hot key spread
+    over as many tasks, and at most ``BUCKETS`` times k rows of a key meet in
+    the second step.
+    """
     keys = _names(keys)
-    w = Window.partitionBy(*keys).orderBy(*_order(df, keys, order))
+    full = _order(df, keys, order)
+    if k > GROUP_LIMIT:
+        buckets = min(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        bucket = F.pmod(F.xxhash64(*df.columns), F.lit(buckets))
+        dealt = Window.partitionBy(*keys, "_bucket").orderBy(*full)
+        df = df.withColumn("_bucket", bucket).withColumn("_rn", F.row_number().over(dealt)).where(F.col("_rn") <= k).drop("_rn", "_bucket")
+    w = Window.partitionBy(*keys).orderBy(*full)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 

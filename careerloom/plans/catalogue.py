@@ -575,8 +575,8 @@ def ambiguous_keys(spark, sf):
 def ambiguous_rows(spark, sf):
     """C37 J3"""
     matched, ent = _matched(spark, sf)
-    typed = entities.match_types(matched, ent)
-    return entities.ambiguous_row_examples(entities.ambiguous_key_report(ent, typed), typed)
+    used = stored(entities.ambiguous_uses(entities.match_types(matched, ent)), "ambiguous-uses")
+    return entities.ambiguous_row_examples(entities.ambiguous_key_report(ent, used), used)
 
 
 @query
@@ -752,32 +752,42 @@ def standardised_features(spark, sf):
     return scaled.select("company_name", F.posexplode("scaled").alias("pos", "value")).withColumn("value", r6("value") + 0.0)
 
 
+def r3(c: Column | str) -> Column:
+    """Three places: the tolerance at which fitted models are compared with the oracle's own fit."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 3)
+
+
 @query
 def classifier(spark, sf):
-    """M3 M4 M5 M6 M7 M8"""
+    """M3 M4 M5 M6 M7 M8: the AUC to three places"""
     vectors, labels = _vector_names(spark, sf)
     train = stored(embedding.train_xy(labels.where("vec_id % 5 <> 0"), vectors, "y"), "train")
     test = stored(embedding.train_xy(labels.where("vec_id % 5 = 0"), vectors, "y"), "test")
-    plain, scaled = embedding.fit_classifier(train), embedding.fit_classifier(train, standardise=True)
-    mean, sd = embedding.cross_validated_auc(train)
+    models = embedding.fit_all(train, {"plain": ("true", False), "scaled": ("true", True)})
     out = [
-        embedding.rank_auc(model.score_features(rows, "p"), "p", "y").withColumn("what", F.lit(what))
+        embedding.rank_auc(models[model].score_features(rows, "p"), "p", "y").withColumn("what", F.lit(what))
         for what, model, rows in [
-            ("train", plain, train), ("test", plain, test), ("train scaled", scaled, train), ("test scaled", scaled, test)
+            ("train", "plain", train), ("test", "plain", test), ("train scaled", "scaled", train), ("test scaled", "scaled", test)
         ]
     ]
-    folds = out[0].select("n_pos", "n_neg", F.lit(mean).alias("auc"), F.lit("folds mean").alias("what"))
-    spread = out[0].select("n_pos", "n_neg", F.lit(sd).alias("auc"), F.lit("folds sd").alias("what"))
-    return rounded(rel.union_all(*out, folds, spread))
+    return rel.union_all(*out).withColumn("auc", r3("auc"))
+
+
+@query
+def cross_validation(spark, sf):
+    """M7: mean and deviation of the AUC over five folds, to three places"""
+    vectors, labels = _vector_names(spark, sf)
+    train = stored(embedding.train_xy(labels, vectors, "y"), "train")
+    return embedding.cross_validated_auc(train).select(r3("auc_mean").alias("auc_mean"), r3("auc_sd").alias("auc_sd"))
 
 
 @query
 def name_scores(spark, sf):
-    """M8: probabilities of every name, merged back on the rows"""
+    """M8: probabilities of every name, merged back on the rows, to three places"""
     vectors, labels = _vector_names(spark, sf)
     model = embedding.fit_classifier(embedding.train_xy(labels, vectors, "y"))
     rows = load(spark, sf, "events").select("event_id", F.concat(F.lit("name "), F.col("user_id")).alias("company_name"))
-    return rounded(embedding.score_names(rows, vectors, {"finance_broad": model}))
+    return embedding.score_names(rows, vectors, {"finance_broad": model}).withColumn("prob_finance_broad", r3("prob_finance_broad"))
 
 
 @query
@@ -789,12 +799,12 @@ def scored_rows(spark, sf):
 
 @query
 def holdout_score(spark, sf):
-    """M9"""
+    """M9, to three places"""
     vectors, labels = _vector_names(spark, sf)
     train_names = labels.where("vec_id % 3 = 0").select("company_name")
     model = embedding.fit_classifier(embedding.train_xy(labels.where("vec_id % 3 = 0"), vectors, "y"))
     fresh = embedding.holdout(vectors, train_names, n=200)
-    return rounded(embedding.holdout_auc(fresh, labels, vectors, model, "y"))
+    return embedding.holdout_auc(fresh, labels, vectors, model, "y").withColumn("auc", r3("auc"))
 
 
 @query
@@ -922,7 +932,7 @@ def finance_school_year(spark, sf):
 @query
 def finance_merged(spark, sf):
     """C46 J11"""
-    jobs = _finance_jobs(spark, sf)
+    jobs = stored(_finance_jobs(spark, sf), "finance-jobs")
     return rounded(finance.merge_finance(jobs, finance.finance_by_school_year(jobs))).select(
         "id_experience", "id_education", "unitid", "year_to", *finance.CELL_COLUMNS
     )

@@ -122,11 +122,14 @@ add("franchise_ownership", "experience", """
 SELECT * REPLACE (round(share_founders_vs_owners, 6) AS share_founders_vs_owners) FROM o""",
     chained=CHAINED, f=flags("chained"), o=OWNERSHIP)
 add("franchise", "experience", """
-SELECT id, member_id, title, company_name, is_founder_or_owner AND hit AS franchise_founder_or_owner,
-  is_owner_only AND hit AS franchise_owner
-FROM (SELECT *, coalesce(company_name IN (SELECT company_name FROM o WHERE NOT share_founders_vs_owners > 0.7
-  AND num_unique_founders_or_owners > 15 AND share_founders_vs_owners < 0.1), false) AS hit FROM f)""",
+SELECT id, member_id, title, f.company_name, is_founder_or_owner AND hit.company_name IS NOT NULL AS franchise_founder_or_owner,
+  is_owner_only AND hit.company_name IS NOT NULL AS franchise_owner
+FROM f LEFT JOIN (SELECT company_name FROM o WHERE NOT share_founders_vs_owners > 0.7
+  AND num_unique_founders_or_owners > 15 AND share_founders_vs_owners < 0.1) hit ON f.company_name = hit.company_name""",
     chained=CHAINED, f=flags("chained"), o=OWNERSHIP)
+#: Tables that several parts read are computed once.
+for _cte in ("experience", "chained", "f", "o"):
+    ORACLE["franchise"] = ORACLE["franchise"].replace(f"\n{_cte} AS (", f"\n{_cte} AS MATERIALIZED (", 1)
 add("cofounder_flag", "experience", """
 SELECT id, member_id, title, company_url, is_founder_or_owner,
   is_founder_or_owner AND coalesce(company_url IN (SELECT company_url FROM f WHERE is_founder_or_owner AND company_url IS NOT NULL
@@ -544,6 +547,70 @@ add("aligned_training", "", "SELECT company_name, y, pos, round(x, 6) + 0.0::DOU
 add("standardised_features", "", """
 SELECT company_name, pos, round(coalesce((x - avg(x) OVER p) / nullif(stddev_pop(x) OVER p, 0), 0), 6) + 0.0::DOUBLE AS value
 FROM t WHERE y IS NOT NULL WINDOW p AS (PARTITION BY pos)""", t=_TRAIN)
+
+
+def regressions(rows: str, iterations: int, dims: int = 64) -> dict[str, str]:
+    """CTE ``fitted`` (model, w) for ``rows`` (model, x, y): accelerated gradient steps on half the squared weights plus
+    the sum of losses, the intercept free.  The step size comes from the norm of the moment matrix."""
+    zeros, n = f"list_resize([0.0::DOUBLE], {dims + 1}, 0.0::DOUBLE)", dims + 1
+    gradient = ", ".join(f"sum(r * x[{j}])" for j in range(1, n + 1))
+    return {
+        "data": f"SELECT model, list_append(x, 1.0::DOUBLE) AS x, y FROM ({rows})",
+        "moments": """SELECT model, sqrt(sum(g * g)) AS g FROM (SELECT model, i, j, sum(a * b) AS g
+          FROM (SELECT model, y, unnest(x) AS a, unnest(range(len(x))) AS i, x FROM data), LATERAL (SELECT unnest(x) AS b, unnest(range(len(x))) AS j)
+          GROUP BY model, i, j) GROUP BY model""",
+        "steps": "SELECT model, 1 / (1 + g / 4) AS step, (sqrt(1 + g / 4) - 1) / (sqrt(1 + g / 4) + 1) AS pull FROM moments",
+        "run": f"""SELECT model, 0 AS i, {zeros} AS w, {zeros} AS v FROM steps
+          UNION ALL SELECT model, i + 1,
+            list_transform(list_zip(new, v), lambda p: p[1] + pull * (p[1] - p[2])), new
+          FROM (SELECT model, i, v, pull, list_transform(range(1, {n + 1}), lambda j: w[j] - step * (g[j] + CASE WHEN j < {n} THEN w[j] ELSE 0 END)) AS new
+            FROM (SELECT model, i, any_value(w) AS w, any_value(v) AS v, [{gradient}] AS g
+              FROM (SELECT run.model, i, w, v, x, 1 / (1 + exp(-list_dot_product(w, x))) - y AS r FROM run JOIN data USING (model) WHERE i < {iterations})
+              GROUP BY model, i) JOIN steps USING (model))""",
+        "fitted": f"SELECT model, v AS w FROM run WHERE i = {iterations}",
+    }
+
+
+def auc(rows: str, by: str = "what") -> str:
+    """n_pos, n_neg and the AUC by mean ranks, per group of ``rows`` (group, s, y); scores are told apart to nine places."""
+    return f"""SELECT {by}, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg,
+      (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE)
+        / (count(*) FILTER (y = 1)::DOUBLE * count(*) FILTER (y = 0)) AS auc
+      FROM (SELECT {by}, y, rank() OVER (PARTITION BY {by} ORDER BY s) + (count(*) OVER (PARTITION BY {by}, s) - 1) / 2.0::DOUBLE AS r FROM ({rows}))
+      GROUP BY {by}"""
+
+
+def recursive(name: str, body: str, **ctes: str) -> None:
+    add(name, "", body, **ctes)
+    ORACLE[name] = ORACLE[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+NAMED = """SELECT 'name ' || vec_id AS company_name, vec_id, embedding::DOUBLE[] AS x,
+  CASE WHEN vec_id % 7 <> 0 THEN (label >= 5)::INT::DOUBLE END AS y FROM embeddings"""
+_MEANS = """SELECT list(m ORDER BY pos) AS m, list(CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY pos) AS s
+  FROM (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT unnest(x) AS x, unnest(range(64)) AS pos FROM named
+    WHERE y IS NOT NULL AND vec_id % 5 <> 0) GROUP BY pos)"""
+_SCALED = "list_transform(list_zip(x, m, s), lambda p: (p[1] - p[2]) / p[3])"
+recursive("classifier", "SELECT what, n_pos, n_neg, round(auc, 3) AS auc FROM (" + auc("""
+  SELECT CASE WHEN test THEN 'test' ELSE 'train' END || CASE model WHEN 'scaled' THEN ' scaled' ELSE '' END AS what, y,
+    list_dot_product(w, list_append(x, 1.0::DOUBLE)) AS s FROM every JOIN fitted USING (model)""") + ")",
+    named=NAMED, means=_MEANS,
+    every=f"""SELECT 'plain' AS model, x, y, vec_id % 5 = 0 AS test FROM named WHERE y IS NOT NULL
+      UNION ALL SELECT 'scaled', {_SCALED}, y, vec_id % 5 = 0 FROM named, means WHERE y IS NOT NULL""",
+    **regressions("SELECT model, x, y FROM every WHERE NOT test", 700))
+_FOLD = "('0x' || substr(md5(company_name), 1, 8))::BIGINT % 5"
+recursive("cross_validation", "SELECT round(avg(auc), 3) AS auc_mean, round(stddev_pop(auc), 3) AS auc_sd FROM (" + auc(f"""
+  SELECT model, y, list_dot_product(w, list_append(x, 1.0::DOUBLE)) AS s FROM named JOIN fitted ON model = {_FOLD} WHERE y IS NOT NULL""", "model") + ")",
+    named=NAMED, **regressions(f"SELECT k AS model, x, y FROM named, (SELECT unnest(range(5)) AS k) WHERE y IS NOT NULL AND {_FOLD} <> k", 300))
+recursive("name_scores", """
+SELECT event_id, company_name, round(1 / (1 + exp(-list_dot_product(w, list_append(x, 1.0::DOUBLE)))), 3) AS prob_finance_broad
+FROM (SELECT event_id, 'name ' || user_id AS company_name FROM events) LEFT JOIN named USING (company_name), fitted""",
+    named=NAMED, **regressions("SELECT 0 AS model, x, y FROM named WHERE y IS NOT NULL", 400))
+recursive("holdout_score", "SELECT n_pos, n_neg, round(auc, 3) AS auc FROM (" + auc("""
+  SELECT 0 AS what, y, list_dot_product(w, list_append(x, 1.0::DOUBLE)) AS s FROM chosen, fitted WHERE y IS NOT NULL""") + ")",
+    named=NAMED,
+    chosen="SELECT * FROM named WHERE NOT (vec_id % 3 = 0 AND vec_id % 7 <> 0) ORDER BY md5('42:' || company_name) LIMIT 200",
+    **regressions("SELECT 0 AS model, x, y FROM named WHERE y IS NOT NULL AND vec_id % 3 = 0", 300))
 add("scored_rows", "", """
 SELECT event_id, 'name ' || user_id AS company_name, user_id IN (SELECT vec_id FROM embeddings) AS scored FROM events""")
 add("holdout_names", "", """

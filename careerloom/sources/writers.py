@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,8 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     first, so the old data is still there while it is being read.
     """
     spark = df.sparkSession
-    if any(f"{path.rstrip('/')}/" in f for f in df.inputFiles()):
+    root = re.sub("^[a-z]+:/*", "/", path.rstrip("/")) + "/"
+    if any(re.sub("^[a-z]+:/*", "/", f).startswith(root) for f in df.inputFiles()):
         staged = scratch_path(spark, "staged")
         df.write.parquet(staged)
         df = spark.read.parquet(staged)
@@ -115,24 +117,33 @@ def run_date() -> Column:
 
 
 def write_dated(df: DataFrame, path: str) -> None:
-    """One version per run date; a second run on the same day replaces only that day (K6)."""
-    (
-        df.withColumn("snapshot_date", run_date())
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("snapshot_date")
-        .parquet(path)
-    )
+    """One version per run date; a second run on the same day replaces only that day (K6).
+
+    A manifest beside the table gets a row per version, after its data, so a
+    version that failed half-way is not listed.
+    """
+    spark = df.sparkSession
+    day = spark.range(1).select(run_date()).first()[0]
+
+    def put(table: DataFrame, to: str) -> None:
+        dated = table.withColumn("snapshot_date", F.lit(day))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(to)
+
+    put(df, path)
+    put(spark.range(1).select(F.current_timestamp().alias("written_at")), versions_path(path))
+
+
+def versions_path(path: str) -> str:
+    return path.rstrip("/") + "_versions"
 
 
 def latest_dated(spark: SparkSession, path: str) -> DataFrame:
     """The newest version written by ``write_dated``.
 
-    The partition values are read from the listing, so one version is scanned.
+    The manifest, one row per version, names it; only its folder is listed and read.
     """
-    table = spark.read.option("basePath", path).parquet(path)
-    newest = table.select("snapshot_date").distinct().agg(F.max("snapshot_date")).first()[0]
-    return table.where(F.col("snapshot_date") == F.lit(newest)).drop("snapshot_date")
+    newest = spark.read.parquet(versions_path(path)).agg(F.max("snapshot_date")).first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/snapshot_date={newest}")
 
 
 def append_log(df: DataFrame, path: str) -> None:

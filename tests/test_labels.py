@@ -139,16 +139,31 @@ def test_regression_solves_the_penalised_problem(spark):
     assert train.count() == 200
     for scaled in (False, True):
         fitted = embedding.fit_classifier(train, standardise=scaled)
-        z = (x - x.mean(0)) / x.std(0, ddof=1) if scaled else x
-        w, b = fitted.model.coefficients.toArray(), fitted.model.intercept
-        if scaled:  # the weights in units of the population deviation
-            z, w = (x - x.mean(0)) / x.std(0), w * x.std(0) / x.std(0, ddof=1)
+        z = (x - x.mean(0)) / x.std(0) if scaled else x
+        w, b = fitted.weights[:-1], fitted.weights[-1]
         p = 1 / (1 + np.exp(-(z @ w + b)))
-        assert np.abs(z.T @ (p - y) + w).max() < 1e-2 and abs((p - y).sum()) < 1e-2
+        assert np.abs(z.T @ (p - y) + w).max() < 1e-6 and abs((p - y).sum()) < 1e-6
         got = {r.company_name: r.p for r in fitted.score(emb, "p").collect()}
         assert max(abs(got[f"n{i}"] - p[i]) for i in range(200)) < 1e-6
 
 
+def test_models_fitted_together_equal_models_fitted_alone(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [(f"n{i}", [float(v) for v in rng.normal(size=4)], float(rng.random() < 0.4)) for i in range(300)]
+    data += [("same", [1e3, 0.0, 0.0, 0.0], 1.0)]
+    train = spark.createDataFrame(data, "company_name string, v array<double>, y double").repartition(9)
+    train = train.select("company_name", "y", F.expr("v").alias("v")).withColumn("features", embedding.array_to_vector("v"))
+    both = embedding.fit_all(train, {"odd": ("length(company_name) % 2 = 1", True), "all": ("true", False), "none": ("false", False), "ones": ("y = 1", True)})
+    odd = embedding.fit_classifier(train.where("length(company_name) % 2 = 1"), standardise=True)
+    assert np.allclose(both["odd"].weights, odd.weights, atol=1e-7) and np.allclose(both["odd"].shift, odd.shift)
+    assert np.allclose(both["all"].weights, embedding.fit_classifier(train.coalesce(1)).weights, atol=1e-7)
+    assert {r.p for r in both["ones"].score_features(train, "p").collect()} == {1.0}
+    folds = embedding.cross_validated_auc(train).first()
+    assert 0.3 < folds.auc_mean < 0.8 and folds.auc_sd < 0.3
+
+
 def test_crosstab_margins(spark):
     df = spark.createDataFrame([(True, True), (True, False), (False, False)], "a boolean, b boolean")
     got = {(r.a, r.b): r.n for r in profiling.crosstab(df, "a", "b").collect()}

@@ -122,3 +122,15 @@ def test_natural_join_needs_a_common_column(spark):
 def test_union_fills_missing_columns(spark):
     out = rel.union_all(spark.range(1).withColumn("a", F.lit(1)), spark.range(1).withColumn("b", F.lit(2)))
     assert rows(out) == sorted([(0, 1, None), (0, None, 2)], key=repr)
+
+
+def test_first_k_beyond_the_group_limit(spark):
+    df = spark.range(30_000).selectExpr("id", "if(id % 10 < 7, 'a', if(id % 10 < 9, 'b', null)) AS label", "(id * 7919) % 30011 AS v").repartition(6)
+    got = rel.first_k(df, "label", 5000, ["v"])
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: r.v):
+        want.setdefault(r.label, []).append(r.id)
+    have = {}
+    for r in got.collect():
+        have.setdefault(r.label, set()).add(r.id)
+    assert have == {k: set(v[:5000]) for k, v in want.items()} and len(have["a"]) == len(have["b"]) == 5000 and len(have[None]) == 3000
