@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``stored`` writes inside the block: their owner is who opened it."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [p for p in _recorders if p is not paths]
+
+
+def emptied(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Gives back the disk of stored tables that nothing reads any more; an empty table stays in each place."""
+    for path in paths:
+        spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The table written to the shared folder, with the writer's ``options``, and read back.
 
@@ -57,6 +79,8 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     after it stay small.
     """
     path = scratch_path(df.sparkSession, name)
+    for paths in _recorders:
+        paths.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
