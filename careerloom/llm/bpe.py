@@ -148,11 +148,12 @@ def lowered(text: str) -> str:
 
 def split_words(text: str, special: dict[str, int], found=regex.compile(WORDS).findall) -> list[str]:
     """The words of a text in order; special tokens come through as they stand."""
-    for token in special:
-        if token in text:
-            before, _, after = text.partition(token)
-            return [*split_words(before, special), token, *split_words(after, special)]
-    return found(lowered(text))
+    if not special:
+        return found(lowered(text))
+    words = []
+    for at, piece in enumerate(regex.split("(" + "|".join(map(regex.escape, special)) + ")", text)):
+        words += [piece] if at % 2 else found(lowered(piece))
+    return words
 
 
 @lru_cache(maxsize=1)
