@@ -74,11 +74,12 @@ def mix(
 
     Whole epochs take every document; the last one takes documents in the order of a keyed hash until the source's
     target is met, and cuts inside the document that crosses it. Reruns and other partitionings give the same mix:
-    the order depends on ids and sizes alone.
+    the order depends on ids, sizes and, where rows share both, digests of the texts.
     """
-    rows = docs.select("doc_id", "source", (words_text() if size is None else size).alias("size"), *also)
+    digest = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    rows = docs.select("doc_id", "source", (words_text() if size is None else size).alias("size"), digest.alias("_digest"), *also)
     rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
-    placed = stored(running_sum(rows, "source", ["_key", "doc_id", "size"], "size", "_sum"), "placed")
+    placed = stored(running_sum(rows, "source", ["_key", "doc_id", "size", "_digest"], "size", "_sum"), "placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     owed = stored(targets(sizes, weights, share, most), "targets")
     owed = owed.select(F.col("source").alias("_source"), "source_size", "target")
