@@ -6,7 +6,7 @@ over all documents whose recipe occurs twice, a name must always go with one SHA
 with a name that does not compare by the digest of the whole text as well.
 
 Null text counts as empty; empty and blank texts are equal to each other. Repeated rows are separate rows with the same
-id. Null ids sort before others. Extra columns are not read.
+id; one of them stays. Null ids come after all others. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -56,10 +56,10 @@ def unverified_names(candidates: DataFrame) -> DataFrame:
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of ``docs`` (doc_id, text).
 
-    Of equal texts the one with the most characters before blanks were deleted stays, then the smallest id. Rows of the
-    same id and text are told apart by their count only, so all rows that carry the kept id and length count as kept.
+    Of equal texts the one with the most characters before blanks were deleted stays, then the smallest id, then the
+    first of the stored recipes, whose rows carry a number of their own.
     """
-    made = recipes(docs)
+    made = recipes(docs).withColumn("row", F.monotonically_increasing_id())
     names = F.transform("recipe", lambda c: F.concat_ws(":", c["n"].cast("string"), c["name"].cast("string")))
     made = stored(made.withColumn("recipe_key", F.sha2(F.array_join(names, " ").cast("binary"), 256)), "recipes")
     repeated = made.groupBy("recipe_key").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").select("recipe_key")
@@ -70,16 +70,16 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         .join(clashes, ["n", "name"], "left_semi").select("recipe_key").distinct().withColumn("clash", F.lit(True))
     )
     keyed = candidates.join(marked, "recipe_key", "left").select(
-        "doc_id", "n_chars", "text_sha256", F.concat("recipe_key", F.when(F.col("clash"), F.col("text_sha256")).otherwise("")).alias("class")
+        "doc_id", "row", "n_chars", "text_sha256", F.concat("recipe_key", F.when(F.col("clash"), F.col("text_sha256")).otherwise("")).alias("class")
     )
     best = keyed.groupBy("class").agg(
         F.max("n_chars").alias("best_chars"), F.count(F.lit(1)).alias("group_size")
     )
     with_best = keyed.join(best, "class")
-    first = with_best.where("n_chars = best_chars").groupBy("class").agg(F.min("doc_id").alias("keep_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    first = with_best.where("n_chars = best_chars").groupBy("class").agg(F.min(order).alias("first"))
     groups = with_best.join(first, "class").select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("best_chars"))).alias("kept"), "text_sha256",
+        "doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"
     )
     alone = made.join(repeated, "recipe_key", "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
