@@ -23,7 +23,7 @@ from careerloom.llm.common import held_out, slices, text_bytes
 #: Table width of the trigrams; the model holds so many numbers per language, whatever the corpus.
 BITS = 15
 SMOOTHING = 0.5
-FIRST_ROUNDS, ROUNDS, MOST_LANGUAGES = 12, 6, 3
+FIRST_ROUNDS, ROUNDS = 12, 6
 #: Log likelihood that one more language must gain, per logarithm of the number of trigrams.
 PENALTY = 2.0
 UNKNOWN = "und"
@@ -84,13 +84,16 @@ class LanguageModel:
         share, _ = maximise(np.full((len(present), languages), 1 / languages, np.float32), FIRST_ROUNDS)
         rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
         chosen, value = share, np.full(len(present), -np.inf)
-        for size in range(1, min(languages, MOST_LANGUAGES) + 1):
+        open_ = np.ones(len(present), bool)  # the penalised likelihood rose with the last language added
+        for size in range(1, languages + 1):
             some = np.where(rank < size, share + 1e-6, 0).astype(np.float32)
             some, fit = maximise(some / some.sum(axis=1, keepdims=True), ROUNDS if size > 1 else 0)
             penalised = fit - PENALTY * (size - 1) * np.log(total[:, 0] + 1)
-            better = penalised > value
-            value = np.where(better, penalised, value)
-            chosen = np.where(better[:, None], some, chosen)
+            open_ &= penalised > value
+            if not open_.any():
+                break
+            value = np.where(open_, penalised, value)
+            chosen = np.where(open_[:, None], some, chosen)
         best[present] = chosen
         return best
 
