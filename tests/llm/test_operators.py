@@ -128,6 +128,14 @@ def test_exact_dedup(odd_frame, odd_docs):
     assert got == equal_texts(odd_docs)
 
 
+def test_exact_dedup_keeps_one_row(spark):
+    rows = [(None, "a b"), (None, "a b"), (5, "a b"), (5, "a b"), (6, "ab"), (None, "z"), (None, " z"), (None, " z"), (3, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(3, 3, 1, True), (5, 5, 5, True), (5, 5, 5, False), (6, 5, 5, False), *[(None, 5, 5, False)] * 2,
+                          (None, None, 3, True), *[(None, None, 3, False)] * 2], key=repr)
+
+
 def test_exact_dedup_with_names_that_clash(spark, odd_frame, odd_docs, monkeypatch):
     short = lambda docs: real(docs).withColumn("recipe", exact_dedup.F.transform("recipe", lambda c: c.withField("name", exact_dedup.F.lit(1).cast("long"))))
     real = exact_dedup.recipes
@@ -152,6 +160,25 @@ def test_bpe_equals_the_library(odd_frame, odd_docs):
         assert r.decoded_sha256 == sha(tok.decode(want, skip_special_tokens=False).encode())
 
 
+def test_bpe_of_many_special_tokens():
+    from tokenizers import Tokenizer
+
+    text = "<|endoftext|>" * 3000 + "It's<|startoftext|>a" * 2 + "<|endoftext|"
+    ids, names = next(bpe.encode_texts([text], bpe.Vocabulary.load(vocabulary_path())))
+    tok = Tokenizer.from_file(vocabulary_path())
+    want = tok.encode(text, add_special_tokens=False).ids
+    assert ids == " ".join(map(str, want)) and names == tok.decode(want, skip_special_tokens=False)
+
+
+def test_mix_of_rows_that_share_ids_and_sizes(spark):
+    rows = [(None if i % 2 else 7, f"a{i} b c d e", "s", 1) for i in range(60)] + [(9, "x y z", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").withColumn("row", exact_dedup.F.col("text"))
+    taken = [sorted((r.row, r.taken) for r in mixing.mix(docs.repartition(n), also=("row",)).collect()) for n in (1, 5, 9)]
+    assert taken[0] == taken[1] == taken[2] and len({t for _, t in taken[0]}) > 1
+    texts = [sorted(r.text for r in mixing.mixed_documents(docs.repartition(n)).collect()) for n in (2, 7)]
+    assert texts[0] == texts[1]
+
+
 def test_mix_meets_its_targets(odd_frame, odd_docs):
     rows = mixing.mix(odd_frame).collect()
     own, taken, target = Counter(), Counter(), {}
@@ -261,6 +288,17 @@ def test_languages_are_learned_and_mixed(spark):
     assert got[103].languages == ["aa", "bb"] and 0.5 < got[103].score < 0.75
 
 
+def test_four_languages_in_one_text(spark):
+    rng = random.Random(4)
+    kinds = {"aa": ["taka", "mako", "tomak"], "bb": ["shelu", "wesh", "lushe"], "cc": ["zinoz", "ozin", "nizzo"], "dd": ["pyrry", "gryp", "ryppg"]}
+    text = lambda lang, n: " ".join(rng.choice(kinds[lang]) for _ in range(n))
+    rows = [(i, text(lang, 30), lang) for i in range(160) for lang in [sorted(kinds)[i % 4]]]
+    rows += [(500, " ".join(text(lang, 80) for lang in kinds), None), (501, text("cc", 50) + " " + text("dd", 50), None)]
+    got = {r.doc_id: r for r in language.predicted_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sorted(got[500].languages) == sorted(kinds) and all(abs(s - 0.25) < 0.08 for s in got[500].shares)
+    assert sorted(got[501].languages) == ["cc", "dd"]
+
+
 def test_quality_rules(spark):
     rng = random.Random(3)
     rows, labels = [], []
