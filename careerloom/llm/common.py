@@ -7,7 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from careerloom.session import stored
@@ -48,8 +49,19 @@ def earliest(keys: list[str], place: str) -> list[Column]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number ``_row`` of each row's own, stored, so that every reader sees the same numbers."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a number ``_row`` of each row's own, the same for every reader.
+
+    Rows read from files are numbered by file and place in the file, so nothing is copied; the table of files has one
+    row per file. Other rows are numbered and stored.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    files = docs.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    files = stored(files.withColumn("_nth", F.row_number().over(Window.orderBy("_file"))), "files")
+    row = F.shiftleft(F.col("_nth").cast("long"), 40) + F.col("_place")
+    return placed.join(files, "_file").withColumn("_row", row).drop("_file", "_place", "_nth")
 
 
 def slices(lengths: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
