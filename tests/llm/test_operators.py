@@ -352,3 +352,13 @@ def test_repeated_rows(spark):
     assert [r.component_id for r in jaccard.components(docs).collect()] == [1, 1, 1]
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs).collect()) == [(1, 2, 3, False)] * 2 + [(2, 2, 3, True)]
     assert recompression.remove_repeats(docs).count() == suffix_dedup.remove_repeats(docs).count() == 3
+
+
+def test_held_out_languages_and_labels(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    docs, labels = read("documents"), read("labels")
+    known = docs.where("lang is not null").select("doc_id", "lang")
+    unseen = language.predicted_languages(docs).where("held_out and lang_pred <> 'und'").join(known, "doc_id").collect()
+    assert len(unseen) > 150 and sum(r.lang == r.lang_pred for r in unseen) >= 0.98 * len(unseen)
+    scored = quality.quality_scores(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    assert len(scored) > 60 and sum(r.quality == r.predicted for r in scored) >= 0.95 * len(scored)
