@@ -48,13 +48,16 @@ def earliest(keys: list[str], place: str) -> list[Column]:
     return [F.min(keys[0]).alias(keys[0]), *[F.min_by(c, order).alias(c) for c in [*keys[1:], place]]]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, from_files: bool = False) -> DataFrame:
     """``docs`` with a number ``_row`` of each row's own, the same for every reader.
 
-    Rows read from files are numbered by file and place in the file, so nothing is copied; the table of files has one
-    row per file. Other rows are numbered and stored.
+    Rows are numbered and stored. With ``from_files``, for a table just read, whose rows are rows of its files, the
+    number is made of file and place in the file, so nothing is copied; the table of files has one row per file. An
+    exploded table must not say so: its rows share their places.
     """
     try:
+        if not from_files:
+            return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
     except AnalysisException:
         return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")

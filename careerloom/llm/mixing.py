@@ -93,13 +93,13 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, from_files: bool = False, **options) -> DataFrame:
     """The mix itself: a row for each whole copy taken, and one with the leading words where the cut fell.
 
     Columns stay those of ``docs``; rows of which nothing is taken go. A document cut in the first epoch keeps only
     the words before the cut, joined by single blanks. ``n_chars``, where there is one, follows the text.
     """
-    rows = numbered(docs)
+    rows = numbered(docs, from_files)
     taken = mix(rows, also=("_row",), **options).select("_row", F.col("taken").alias("_taken"), F.col("size").alias("_size"))
     joined = rows.join(taken, "_row")
     part = F.pmod(F.col("_taken"), F.col("_size"))
