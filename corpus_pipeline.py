@@ -48,14 +48,14 @@ def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
 @_owner
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    docs = numbered(docs)
+    docs = numbered(docs, from_files=True)
     return _keep(docs, quality.quality_scores(docs, read(spark, sf_dir, "labels"), also=("_row",)).where("predicted = 1"))
 
 
 @_owner
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts; of rows that share the kept id and length, the first by text digest."""
-    docs = numbered(docs)
+    docs = numbered(docs, from_files=True)
     digest = F.sha2(exact_dedup.normalised().cast("binary"), 256)
     length = F.length(F.coalesce("text", F.lit("")))
     kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
@@ -69,7 +69,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_owner
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of near-equal shingle sets connect: the one with the smallest id, nulls last."""
-    docs = numbered(docs)
+    docs = numbered(docs, from_files=True)
     found = jaccard.components(docs.select(F.col("_row").alias("doc_id"), "text"), **jaccard.NEAR)
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), F.col("_row").alias("row"))
     placed = docs.select("_row", order.alias("order")).join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
@@ -79,7 +79,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_owner
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources at their target weights; documents taken twice come twice."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, from_files=True)
 
 
 @_owner
