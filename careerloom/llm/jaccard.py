@@ -11,8 +11,9 @@ least ``slack`` prefix tokens. Index lists are skipped in three steps, none of w
   take over each other's answers. Only lists that are not connected by that are compared further, head by head, in
   blocks of sets.
 
-Null and blank texts have no set, link with nothing and are their own component. Rows that repeat an id count as one
-document with equal sets. Extra columns are not read.
+Null and blank texts have no set, link with nothing and are their own component. Every row is a document: rows that share
+an id but not the text, or have none, link by their own text. A component's name is its smallest id, null if it has none.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from careerloom.llm.common import mixed, rolling, slices, stored, text_bytes, word_hashes
+from careerloom.llm.common import mixed, numbered, rolling, slices, stored, text_bytes, word_hashes
 from careerloom.llm.components import connected
 
 #: Near-duplicate settings for stages that do not say otherwise.
@@ -231,6 +232,8 @@ def links(sets: DataFrame, share: Fraction) -> DataFrame:
 def components(docs: DataFrame, words: int = 4, share: Fraction = Fraction(85, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     sets = stored(shingle_sets(docs, words, share, full=False), "sets")
+    if not names_texts(sets):
+        return components_of_rows(docs, words, share)
     chosen = stored(possible(sets), "possible")
     texts = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left_semi")
     kept = stored(shingle_sets(texts, words, share, full=True), "full-sets")
@@ -242,3 +245,20 @@ def components(docs: DataFrame, words: int = 4, share: Fraction = Fraction(85, 1
     member = kept.select("doc_id", "n", "s1", "s2").join(placed, ["n", "s1", "s2"]).groupBy("doc_id").agg(F.min("_component").alias("_component"))
     out = sets.select("doc_id", "n").join(member, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+
+
+def names_texts(sets: DataFrame) -> bool:
+    """Whether every row has an id and rows that share one have equal sets."""
+    fingerprint = F.struct("n", "s1", "s2")
+    same = sets.groupBy("doc_id").agg(F.min(fingerprint).alias("lo"), F.max(fingerprint).alias("hi"))
+    return same.where("doc_id is null or lo <> hi").isEmpty()
+
+
+def components_of_rows(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
+    """``components`` where ids do not name texts: rows are numbered, and their ids come in at the end."""
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), "text"))
+    found = components(rows.select(F.col("_row").alias("doc_id"), "text"), words, share)
+    found = found.select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_part"))
+    placed = stored(rows.select("_row", "doc_id").join(found, "_row"), "placed")
+    least = placed.groupBy("_part").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "_part").select("doc_id", "n_shingles", "component_id")

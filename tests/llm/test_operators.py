@@ -336,6 +336,34 @@ def test_neighbours_are_found(spark):
     assert hits >= 0.9 * 60
 
 
+def test_few_vectors_under_many_partitions(spark):
+    rows = [(i * 50, [float(i), 1.0, float(i * i % 7)]) for i in range(15)] + [(1000 + i, [3.0, 1.0, 2.0]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = nn_descent.neighbours(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for query, q in [(i, v) for i, v in rows if i % 100 == 0]:
+        near = sorted((float(np.linalg.norm(np.subtract(q, v))), i) for i, v in rows if i != query)[:10]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == query] == [i for _, i in near]
+
+
+def test_fewer_candidates_than_wanted(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [4.0, 6.0]), (2, [4.0, 7.0]), (3, [1.0])]
+    got = nn_descent.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 0.0), (0, 2, 2, 5.0)]
+
+
+def test_jaccard_of_rows_that_share_ids(spark):
+    a, b, other = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
+    rows = [(None, a), (3, a + " more"), (7, b), (7, other), (9, b + " more"), (None, None), (None, "alone"), (8, None)]
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 97, 3), (3, 98, 3), (7, 97, 7), (7, 97, 7), (9, 98, 7), (None, 0, None), (None, 1, None), (8, 0, 8)]
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+
+
 def test_empty_tables(spark, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<double>")
