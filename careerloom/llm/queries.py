@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from careerloom.llm import (
     bpe, contamination, divergence, exact_dedup, jaccard, language, mixing, nn_descent, pseudonyms, quality, recompression, suffix_dedup, whitening,
@@ -43,7 +44,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept").withColumn("removed", F.col("n_removed") > 0)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
