@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from careerloom.llm.common import stored
 
 #: Neighbours kept per node, trees and block size of the start, neighbours introduced per kind, rounds at most.
-NEIGHBOURS, TREES, BLOCK, INTRODUCED, MOST_ROUNDS = 32, 8, 192, 16, 6
-#: Rounds end when fewer than this share of all neighbours changed.
-STILL = 0.01
+NEIGHBOURS, TREES, BLOCK, INTRODUCED, MOST_ROUNDS = 32, 8, 192, 16, 12
+#: Rounds end when fewer than this share of all neighbours changed; the walk makes up for the rest.
+STILL = 0.15
 #: Beam of a search, and nodes of the graph that searches start from.
-BEAM, ENTRIES, MOST_STEPS = 240, 128, 12
+BEAM, ENTRIES = 240, 128
 
 
 def usable(rows: DataFrame, id_name: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -88,7 +88,9 @@ def first_neighbours(nodes: DataFrame, k: int, seed: int = 1) -> DataFrame:
                 yield _edges(np.repeat(ids, near.shape[1])[ok.ravel()], ids[near][ok], value[ok])
             rest = rows.slice(rows.num_rows // BLOCK * BLOCK).to_batches()
 
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # so many partitions that each holds several full blocks, whatever the setting
+    most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, nodes.count() * TREES // (BLOCK * 4)))
     ranged = nodes.mapInArrow(coded, "tree long, code long, id long, vec array<double>")
     ranged = ranged.withColumn("tie", F.xxhash64("tree", "id")).repartitionByRange(parts, "tree", "code", "tie").sortWithinPartitions("tree", "code", "tie")
     return ranged.select("tree", "code", "id", "vec").mapInArrow(blocks, "u long, v long, d double")
@@ -167,7 +169,8 @@ def squared(x: str, y: str) -> Column:
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
     """(query_id, node, d2): the beam of each of ``queries`` (query_id, vec) after a greedy walk of the graph.
 
-    A query starts from the nearest of ENTRIES nodes and, if its vector is itself a node, from there.
+    A query starts from the nearest of ENTRIES nodes, from all if there are no more, and, if its vector is itself a node,
+    from there. A walk ends when its beam is opened: a node that left the beam is farther than all of it and stays out.
     """
     entries = nodes.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(ENTRIES).collect()
     ids, matrix = np.array([r["id"] for r in entries], np.int64), np.array([r["vec"] for r in entries])
@@ -178,33 +181,32 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
             if not len(q) or not len(ids):
                 continue
             d = ((q[:, None, :] - matrix[None]) ** 2).sum(axis=2)
-            near = np.argsort(d, axis=1, kind="stable")[:, :8]
+            near = np.argsort(d, axis=1, kind="stable")[:, : 8 if len(ids) == ENTRIES else len(ids)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(batch.column(0).to_numpy(), near.shape[1])), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, axis=1).ravel())], ["query_id", "node", "d2"]
             )
 
-    asked = queries.select("query_id", F.col("vec").alias("q"))
+    asked = stored(queries.select("query_id", F.col("vec").alias("q")), "asked")
     found = queries.select("query_id", "vec").mapInArrow(start, "query_id long, node long, d2 double")
     own = asked.join(nodes, asked["q"] == nodes["vec"]).select("query_id", F.col("id").alias("node"), F.lit(0.0).alias("d2"))
     state = stored(found.unionByName(own).groupBy("query_id", "node").agg(F.min("d2").alias("d2")).withColumn("opened", F.lit(0)), "beam")
     links = graph.select(F.col("u").alias("node"), F.col("v").alias("next")).unionByName(graph.select(F.col("v").alias("node"), F.col("u").alias("next"))).distinct()
     links = stored(links, "links")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "node"))
-    for _ in range(MOST_STEPS):
-        opening = state.where("opened = 0").select("query_id", "node")
-        reached = opening.join(links, "node").select("query_id", F.col("next").alias("node")).distinct().join(state, ["query_id", "node"], "left_anti")
-        reached = reached.join(nodes.withColumnRenamed("id", "node"), "node").join(asked, "query_id")
-        reached = reached.select("query_id", "node", squared("q", "vec").alias("d2"), F.lit(0).alias("opened"))
-        pool = state.withColumn("opened", F.lit(1)).unionByName(reached)
+    while not state.where("opened = 0").isEmpty():
+        seen = state.withColumn("opened", F.lit(1))
+        opening = state.where("opened = 0").select("query_id", "node").join(links, "node")
+        opening = opening.select("query_id", F.col("next").alias("node"), F.lit(0).alias("opened"))
+        reached = seen.select("query_id", "node", "opened").unionByName(opening).groupBy("query_id", "node").agg(F.max("opened").alias("opened"))
+        reached = reached.where("opened = 0").join(nodes.withColumnRenamed("id", "node"), "node").join(asked, "query_id")
+        pool = seen.unionByName(reached.select("query_id", "node", squared("q", "vec").alias("d2"), "opened"))
         state = stored(pool.withColumn("rank", best).where(F.col("rank") <= beam).drop("rank"), "beam")
-        if state.where("opened = 0").isEmpty():
-            break
     return state.select("query_id", "node", "d2")
 
 
 def neighbours(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible by ``every``."""
-    vectors = stored(usable(rows), "usable")
+    vectors = usable(rows)
     classes = vectors.groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     classes = stored(classes, "classes")
     nodes = stored(classes.select(F.col("node").alias("id"), "vec"), "nodes")
