@@ -249,9 +249,8 @@ def components(docs: DataFrame, words: int = 4, share: Fraction = Fraction(85, 1
 
 def names_texts(sets: DataFrame) -> bool:
     """Whether every row has an id and rows that share one have equal sets."""
-    fingerprint = F.struct("n", "s1", "s2")
-    same = sets.groupBy("doc_id").agg(F.min(fingerprint).alias("lo"), F.max(fingerprint).alias("hi"))
-    return same.where("doc_id is null or lo <> hi").isEmpty()
+    same = sets.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n", "s1", "s2")])
+    return same.where("doc_id is null or min_n <> max_n or min_s1 <> max_s1 or min_s2 <> max_s2").isEmpty()
 
 
 def components_of_rows(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
