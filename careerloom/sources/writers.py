@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType, StructType
 
@@ -49,28 +49,49 @@ def write_size_capped(
 ) -> int | None:
     """Parts no larger than ``max_bytes`` (K3); returns the records-per-file limit in use.
 
-    The table is written once; its files give the bytes per row.  Only when a
-    part is too large is the written copy (never the input) cut again, with
-    Spark rolling to a new file at a smaller number of records.  An empty
-    table still gives one part.
+    The table is written once, and parts within the cap stay as they are.  Rows
+    of larger parts, found by the size in their file metadata, are cut beside
+    the table, with Spark rolling to a new file at the number of records that
+    the densest part allows; the input is not computed again.  When all cuts
+    fit they are added and the parts that they replace go.  An empty table
+    still gives one part.
     """
     spark = df.sparkSession
 
-    def write(table: DataFrame, to: str) -> None:
-        sized = table.write.mode("overwrite")
-        (sized.option("maxRecordsPerFile", rows_per_file) if rows_per_file else sized).parquet(to)
-
-    write(df, path)
-    while True:
-        largest, total = file_sizes(spark, path).agg(F.max("length"), F.sum("length")).first()
-        if (largest or 0) <= max_bytes or rows_per_file == 1:
-            return rows_per_file
-        fitting = max_bytes * safety / (total / spark.read.parquet(path).count())
-        shrunk = fitting if rows_per_file is None else min(fitting, rows_per_file * max_bytes * safety / largest)
-        rows_per_file = max(1, math.floor(shrunk))
-        staged = scratch_path(spark, "resized")
-        write(spark.read.parquet(path), staged)
-        write(spark.read.parquet(staged), path)
+    def limited(writer: DataFrameWriter) -> DataFrameWriter:
+        return writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer
+
+    def too_large(folder: str) -> DataFrame:
+        return spark.read.schema(df.schema).parquet(folder).where(F.col("_metadata.file_size") > max_bytes)
+
+    limited(df.write.mode("overwrite")).parquet(path)
+    whole = [f.path for f in file_sizes(spark, path).where(F.col("length") > max_bytes).select("path").toLocalIterator()]
+    densest = bytes_per_row(too_large(path))
+    if densest is None or rows_per_file == 1:
+        return rows_per_file
+    while densest is not None and rows_per_file != 1:
+        fitting = math.floor(max_bytes * safety / densest)
+        rows_per_file = max(1, fitting if rows_per_file is None else min(fitting, rows_per_file - 1))
+        cut = scratch_path(spark, "cut")
+        limited(too_large(path).write).parquet(cut)
+        densest = bytes_per_row(too_large(cut))
+    limited(spark.read.parquet(cut).write.mode("append")).parquet(path)
+    remove_files(spark, whole)
+    return rows_per_file
+
+
+def bytes_per_row(parts: DataFrame) -> float | None:
+    """Bytes a row takes in the densest of the files read, None if there are none; only footers are read."""
+    files = parts.groupBy("_metadata.file_path").agg((F.max("_metadata.file_size") / F.count("*")).alias("density"))
+    return files.agg(F.max("density")).first()[0]
+
+
+def remove_files(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes files of a table by the file system that holds them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for name in paths:
+        place = hadoop.Path(name)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, False)
 
 
 def with_labels(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:

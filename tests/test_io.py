@@ -69,6 +69,18 @@ def test_size_cap(spark, tmp_path, n):
     assert rows(readers.snapshot(spark, path).select("id")) == rows(df.select("id"))
 
 
+def test_size_cap_leaves_small_parts(spark, tmp_path):
+    path, cap = str(tmp_path / "t"), 20_000
+    text = F.concat_ws(" ", *[F.md5((F.col("id") + i).cast("string")) for i in range(4)])
+    df = spark.range(1200).select("id", text.alias("x")).repartitionByRange(2, F.col("id") < 100)
+    df.write.parquet(path + "-first")
+    small = min(r.length for r in writers.file_sizes(spark, path + "-first").collect())
+    writers.write_size_capped(df, path, max_bytes=cap)
+    sizes = [r.length for r in writers.file_sizes(spark, path).collect()]
+    assert small in sizes and max(sizes) <= cap and len(sizes) > 2
+    assert rows(readers.snapshot(spark, path).select("id")) == rows(df.select("id"))
+
+
 def test_labels_follow_the_table(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.write_labelled(spark.range(2).toDF("unitid"), path, {"unitid": "School id", "absent": "x"})
