@@ -18,7 +18,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from math import ceil
 
@@ -147,10 +147,10 @@ def verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     return joined.where(share.denominator * common >= share.numerator * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def links_of_block(ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Links between sets of different parts, one for each two parts that have any. ``tokens`` holds all sets in turn."""
+def linked_in_block(sizes: np.ndarray, tokens: np.ndarray, share: Fraction) -> np.ndarray:
+    """Matrix of the links between the sets of a block. ``tokens`` holds all sets in turn."""
     known, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(ids)), sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
     several = np.flatnonzero(times > 1)
     place = np.full(len(known), -1)
     place[several] = np.arange(len(several))
@@ -158,31 +158,39 @@ def links_of_block(ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, tokens
     row, column = row[column >= 0], column[column >= 0]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((len(ids), len(ids)), np.float32)
+    common = np.zeros((len(sizes), len(sizes)), np.float32)
     for start in range(0, len(several), 4096):
         a, b = np.searchsorted(column, [start, start + 4096])
-        held = np.zeros((len(ids), min(4096, len(several) - start)), np.float32)
+        held = np.zeros((len(sizes), min(4096, len(several) - start)), np.float32)
         held[row[a:b], column[a:b] - start] = 1
         common += held @ held.T
     common = common.astype(np.int64)
-    linked = share.denominator * common >= share.numerator * (sizes[:, None] + sizes[None, :] - common)
+    return share.denominator * common >= share.numerator * (sizes[:, None] + sizes[None, :] - common)
+
+
+def links_of_block(ids: np.ndarray, parts: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of different parts, one for each two parts that have any."""
     i, j = np.nonzero(linked & (parts[:, None] < parts[None, :]))
     _, one = np.unique(np.stack([parts[i], parts[j]], axis=1), axis=0, return_index=True) if len(i) else (None, np.empty(0, int))
     return ids[i[one]], ids[j[one]]
 
 
-def links_across(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Links (a, b) between sets of one head that are in different parts; ``members``: (head, id, part).
+def blocks_compared(members: DataFrame, sets: DataFrame, share: Fraction, names: list[str], answer: Callable) -> DataFrame:
+    """``answer`` of every two blocks of a head; ``members``: (*head, id, and longs that ``answer`` reads), heads of two longs.
 
     A head's sets are dealt into blocks of about BLOCK sets, and every two blocks are compared in a task of their own: a
-    task holds two blocks however many sets a head has. Pairs are matrix entries, never rows.
+    task holds two blocks however many sets a head has. Pairs are matrix entries, never rows. ``answer`` takes the columns
+    of the two blocks, with their numbers ``lo`` and ``hi`` and ``own``, the block of each set, and the matrix of links; it gives the two columns ``names``.
     """
-    counted = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    head = members.columns[:2]
+    counted = members.groupBy(*head).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(counted, "head").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "part")
-    full = dealt.join(sets.select("id", "tokens").hint("merge"), "id").select("head", "lo", "hi", "id", "part", "tokens")
-    ordered = full.repartition("head", "lo", "hi").sortWithinPartitions("head", "lo", "hi")
+    dealt = members.join(counted, head).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*head, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *members.columns[2:], "own")
+    full = dealt.join(sets.select("id", "tokens").hint("merge"), "id").select(*dealt.columns, "tokens")
+    by = [*head, "lo", "hi"]
+    ordered = full.repartition(*by).sortWithinPartitions(*by)
+    read = dealt.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -192,7 +200,7 @@ def links_across(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFr
             if rows is None:
                 return
             rows = rows.combine_chunks()
-            keys = np.stack([rows.column(c).to_numpy() for c in ("head", "lo", "hi")], axis=1)
+            keys = np.stack([rows.column(c).to_numpy() for c in by], axis=1)
             begins = np.flatnonzero(np.append(True, (np.diff(keys, axis=0) != 0).any(axis=1))[: len(keys)])
             ends = np.append(begins[1:], len(keys))
             if batch is not None and len(begins):
@@ -202,13 +210,45 @@ def links_across(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFr
             for start, stop in zip(begins.tolist(), ends.tolist()):
                 part = rows.slice(start, stop - start).combine_chunks()
                 listed = pa.concat_arrays(part.column("tokens").chunks)
-                a, b = links_of_block(
-                    part.column("id").to_numpy(), part.column("part").to_numpy(), listed.value_lengths().to_numpy().astype(np.int64), listed.flatten().to_numpy(), share
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                linked = linked_in_block(listed.value_lengths().to_numpy().astype(np.int64), listed.flatten().to_numpy(), share)
+                two = answer({c: part.column(c).to_numpy() for c in read}, linked)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in two], names)
             rest = rows.slice(cut).to_batches()
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def links_across(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """Links (a, b) between sets of one head that are in different parts; ``members``: (head, id, part)."""
+    placed = members.select("head", F.lit(0).cast("long").alias("_"), "id", "part")
+    return blocks_compared(placed, sets, share, ["a", "b"], lambda c, linked: links_of_block(c["id"], c["part"], linked))
+
+
+def linked_copies(columns: dict[str, np.ndarray], linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, documents of other sets that it links with) for the links that these two blocks are the ones to count.
+
+    Two blocks count the links from one to the other; a block with itself those inside. Links among sets that only visit
+    from the smaller sizes are counted where they are at home.
+    """
+    own, home, copies = columns["own"], columns["home"] == 1, columns["copies"]
+    across = own[:, None] != own[None, :] if columns["lo"][0] < columns["hi"][0] else ~np.eye(len(own), dtype=bool)
+    times = (linked & across & (home[:, None] | home[None, :])) @ copies
+    some = np.flatnonzero(times)
+    return columns["id"][some], times[some]
+
+
+def link_counts(parts: DataFrame, classes: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """(id, links): documents of other sets that each set of ``parts`` (id, component) links with; ``classes``: (id, n, copies).
+
+    Linked sets have one component and sizes at most a block of sizes apart; a set is compared at home and in the next one.
+    """
+    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(float(share)) + 1e-9)))
+    sized = parts.join(classes.select("id", "n", "copies"), "id").withColumn("size", block)
+    both = F.explode(F.array(*[F.struct((F.col("size") + 1 - home).alias("size"), F.lit(home).cast("long").alias("home")) for home in (1, 0)]))
+    members = sized.select("component", "id", "copies", both.alias("at")).select("component", "at.size", "id", "copies", "at.home")
+    met = members.groupBy("component", "size").agg(F.max("home").alias("any"), F.count(F.lit(1)).alias("sets")).where("any = 1 and sets > 1")
+    members = stored(members.join(met.select("component", "size"), ["component", "size"], "left_semi"), "sized-members")
+    return blocks_compared(members, sets, share, ["id", "links"], linked_copies).groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def links(sets: DataFrame, share: Fraction) -> DataFrame:
@@ -229,22 +269,32 @@ def links(sets: DataFrame, share: Fraction) -> DataFrame:
     return found.unionByName(stored(links_across(members, sets, share), "links"))
 
 
-def components(docs: DataFrame, words: int = 4, share: Fraction = Fraction(85, 100)) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+def components(docs: DataFrame, words: int = 4, share: Fraction = Fraction(85, 100), counted: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
+
+    ``counted`` adds n_links, the number of other rows that the row links with, rows of equal sets included.
+    """
     sets = stored(shingle_sets(docs, words, share, full=False), "sets")
     if not names_texts(sets):
-        return components_of_rows(docs, words, share)
+        return components_of_rows(docs, words, share, counted)
     chosen = stored(possible(sets), "possible")
     texts = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left_semi")
     kept = stored(shingle_sets(texts, words, share, full=True), "full-sets")
-    classes = stored(kept.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
+    classes = stored(kept.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     first = kept.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id")
     first = first.agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("tokens").alias("tokens")).withColumnRenamed("doc_id", "id")
-    parts = connected(links(stored(first, "class-sets"), share))
-    placed = classes.join(parts, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("_component"))
-    member = kept.select("doc_id", "n", "s1", "s2").join(placed, ["n", "s1", "s2"]).groupBy("doc_id").agg(F.min("_component").alias("_component"))
+    first = stored(first, "class-sets")
+    parts = connected(links(first, share))
+    placed = classes.join(parts, "id", "left").withColumn("_component", F.coalesce("component", "id"))
+    if counted:
+        placed = placed.join(link_counts(parts, classes, first, share), "id", "left")
+        placed = placed.withColumn("_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    facts = ["_component", *(["_links"] if counted else [])]
+    member = kept.select("doc_id", "n", "s1", "s2").join(placed.select("n", "s1", "s2", *facts), ["n", "s1", "s2"])
+    member = member.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in facts])
     out = sets.select("doc_id", "n").join(member, "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+    more = [F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"), *more)
 
 
 def names_texts(sets: DataFrame) -> bool:
@@ -253,11 +303,11 @@ def names_texts(sets: DataFrame) -> bool:
     return same.where("doc_id is null or min_n <> max_n or min_s1 <> max_s1 or min_s2 <> max_s2").isEmpty()
 
 
-def components_of_rows(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
+def components_of_rows(docs: DataFrame, words: int, share: Fraction, counted: bool = False) -> DataFrame:
     """``components`` where ids do not name texts: rows are numbered, and their ids come in at the end."""
     rows = numbered(docs.select(F.col("doc_id").cast("long"), "text"))
-    found = components(rows.select(F.col("_row").alias("doc_id"), "text"), words, share)
-    found = found.select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_part"))
+    found = components(rows.select(F.col("_row").alias("doc_id"), "text"), words, share, counted)
+    found = found.withColumnsRenamed({"doc_id": "_row", "component_id": "_part"})
     placed = stored(rows.select("_row", "doc_id").join(found, "_row"), "placed")
     least = placed.groupBy("_part").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "_part").select("doc_id", "n_shingles", "component_id")
+    return placed.join(least, "_part").select("doc_id", "n_shingles", "component_id", *(["n_links"] if counted else []))

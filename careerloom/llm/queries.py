@@ -52,7 +52,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(read(spark, sf_dir, "documents"))
+    return jaccard.components(read(spark, sf_dir, "documents"), counted=True)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

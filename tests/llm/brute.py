@@ -65,6 +65,14 @@ def jaccard_components(docs, k=4, num=85, den=100):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def jaccard_links(docs, k=4, num=85, den=100):
+    sets = []
+    for i, t in docs:
+        w = (t or "").encode().lower().split()
+        sets.append((i, {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()))
+    return [(i, sum(bool(a and b) and n != m and den * len(a & b) >= num * len(a | b) for m, (_, b) in enumerate(sets))) for n, (i, a) in enumerate(sets)]
+
+
 def equal_texts(docs):
     groups = {}
     for i, t in docs:

@@ -9,7 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from brute import equal_texts, jaccard_components, repeated_bytes, repeated_words, sha
+from brute import equal_texts, jaccard_components, jaccard_links, repeated_bytes, repeated_words, sha
 
 from careerloom.llm import bpe, exact_dedup, jaccard, language, mixing, nn_descent, pseudonyms, quality, recompression, suffix_dedup
 from careerloom.llm.components import connected
@@ -117,6 +117,18 @@ def test_jaccard_blocks_lose_no_link(spark, odd_frame, odd_docs, monkeypatch):
     assert got == {i: c for i, (_, c) in jaccard_components(odd_docs).items()}
 
 
+@pytest.mark.parametrize("block", [2, 400])
+def test_jaccard_link_counts(spark, odd_frame, odd_docs, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    near = [(5000 + n, " ".join([a, *["more"] * (n % 7), *[f"t{n}"] * (n % 3)])) for n in range(40)] + [(5100 + n, b) for n in range(9)]
+    docs = odd_docs + near
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard.components(frame, counted=True).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted(jaccard_links(docs))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_components(docs)
+
+
 def test_connected_path_and_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.id: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -362,13 +374,15 @@ def test_jaccard_of_rows_that_share_ids(spark):
     got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, 97, 3), (3, 98, 3), (7, 97, 7), (7, 97, 7), (9, 98, 7), (None, 0, None), (None, 1, None), (8, 0, 8)]
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), counted=True).collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_links) for r in got))) == sorted(map(repr, jaccard_links(rows)))
 
 
 def test_empty_tables(spark, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<double>")
     made = [
-        recompression.remove_repeats(no_docs), suffix_dedup.remove_repeats(no_docs), jaccard.components(no_docs), exact_dedup.exact_duplicates(no_docs),
+        recompression.remove_repeats(no_docs), suffix_dedup.remove_repeats(no_docs), jaccard.components(no_docs, counted=True), exact_dedup.exact_duplicates(no_docs),
         bpe.encoded(no_docs, vocabulary_path()), mixing.mix(no_docs), mixing.mixed_documents(no_docs), language.predicted_languages(no_docs),
         quality.quality_scores(no_docs, labels), pseudonyms.pseudonymised(no_docs, "k"), nn_descent.neighbours(vectors),
     ]
