@@ -125,8 +125,8 @@ def profile_coverage(profiles: DataFrame, ids: DataFrame, on: str = "member_id")
 
 
 def add_gender_probability(person: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One profile attribute beside each person."""
-    one = keep_first(profiles.select("id", "prob_female"), "id").withColumnRenamed("id", "linkedin_member_id")
+    """One profile attribute beside each person (C50): the smallest one known, where profiles share an id."""
+    one = profiles.groupBy(F.col("id").alias("linkedin_member_id")).agg(F.min("prob_female").alias("prob_female"))
     return enrich(person, one, "linkedin_member_id")
 
 

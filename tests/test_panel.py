@@ -113,3 +113,10 @@ def test_verification_sample_sizes(spark, sf, jobs):
     exp = catalogue.flagged(spark, sf)
     got = panel.verification_sample(exp, person, n=25).groupBy("is_founder_or_owner_with_url").count()
     assert rows(got) == [(False, 25), (True, 25)]
+
+
+def test_a_known_gender_probability_wins_over_an_empty_profile(spark):
+    person = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "linkedin_member_id long, university_title string")
+    profiles = spark.createDataFrame([(1, None), (1, 0.4), (1, 0.3), (2, None), (None, 0.9)], "id long, prob_female double")
+    got = rows(panel.add_gender_probability(person, profiles).select("linkedin_member_id", "prob_female"))
+    assert got == sorted([(1, 0.3), (2, None), (3, None), (None, None)], key=repr)
