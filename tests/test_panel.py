@@ -120,3 +120,40 @@ def test_a_known_gender_probability_wins_over_an_empty_profile(spark):
     profiles = spark.createDataFrame([(1, None), (1, 0.4), (1, 0.3), (2, None), (None, 0.9)], "id long, prob_female double")
     got = rows(panel.add_gender_probability(person, profiles).select("linkedin_member_id", "prob_female"))
     assert got == sorted([(1, 0.3), (2, None), (3, None), (None, None)], key=repr)
+
+
+def test_majors_by_plain_tests_equal_the_patterns(spark):
+    words = [w for _, _, ws in fx.MAJORS for w in ws]
+    texts = [f"Master's degree, {w.upper()} minor in Xyz" for w in words] + [
+        "BS", "BS Law", "bachelor of science (B.S.), mathematics", "MASTERS, in Law", "Minor", "minors of x", "(BS)", "(toolong)", "( a", "", None, " b.s. ",
+        "Business m.b.a. x", "mxbxax", "Earthly", "x master of y", "master of science(ms), econ", "donor Minor art, b", "ſKMASTER'S x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, university_major_raw string")
+    lowered = F.lower("university_major_clean")
+    branch = F
+    for label, _, ws in fx.MAJORS:
+        branch = branch.when(lowered.rlike("|".join(w.replace(".", r"\.") for w in ws)), label)
+    text = F.trim(F.regexp_replace("university_major_raw", "(?i)" + "|".join(fx.DEGREE_PREFIXES), ""), F.lit(" \t\n\x0b\f\r"))
+    text = F.trim(F.regexp_replace(text, fx.MINOR_TAIL, ""), F.lit(" \t\n\x0b\f\r"))
+    want = df.select("id", text.alias("university_major_clean")).where(
+        ~F.coalesce(F.col("university_major_clean").rlike(fx.SHORT_NOTE), F.lit(False))).withColumn("c", branch.otherwise("Other"))
+    done = education.categorise_major(education.clean_major(df))
+    assert rows(done.select("id", "university_major_clean", "university_major_categorized")) == rows(want)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(lower(" not in plan.replace("rlike", "RLIKE")
+
+
+def test_one_row_group_is_dealt_out_however_many_splits_it_has(spark, tmp_path):
+    from careerloom.plans import fixtures
+
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "16k")
+        df = fixtures.table(spark, str(tmp_path), "documents")
+        cores = spark.sparkContext.defaultParallelism
+        assert df.select(F.spark_partition_id()).distinct().count() >= cores and df.count() == 4000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
