@@ -34,6 +34,12 @@ def founding_years(companies: DataFrame, host: str = "linkedin.com") -> DataFram
     )
 
 
+def with_founded(exp: DataFrame, companies: DataFrame, host: str = "linkedin.com") -> DataFrame:
+    """The year as the company page gives it, beside the URL as written: all that ``founding_year`` looks up."""
+    years = founding_years(companies, host).withColumnRenamed("company_url", "_url")
+    return enrich(exp.withColumn("_url", canonical_url("company_url", host)), years, "_url").drop("_url")
+
+
 def founding_year(exp: DataFrame, companies: DataFrame | None, host: str = "linkedin.com") -> DataFrame:
     """Canonical company URL and its founding year, null outside 1900..2030."""
     if companies is None:

@@ -142,7 +142,7 @@ def _people_per(df: DataFrame, key: str, member: str, name: str) -> DataFrame:
 
 def cofounder_events(panel: DataFrame, flag: str = "is_founder_or_owner_5_years_o") -> DataFrame:
     """Founders within five years whose URL has 2..10 distinct members, as distinct events."""
-    founders = panel.where(F.col("company_url").isNotNull() & F.col(flag))
+    founders = stored(panel.where(F.col("company_url").isNotNull() & F.col(flag)), "founders")
     people = _people_per(founders, "company_url", "member_id", "number_of_founders")
     chosen = people.where(F.col("number_of_founders").between(*fx.COFOUNDER_RANGE))
     events = in_keys(founders, chosen, "company_url")
@@ -170,7 +170,7 @@ def cofounder_events_strict(panel: DataFrame, parity: bool = False) -> DataFrame
     Names with more than ten distinct founders are dropped.  ``parity`` keeps
     the published slip of looking the names up in the URL column.
     """
-    founders = with_people_at_url(panel.where(F.col("is_founder_or_owner_with_url")))
+    founders = with_people_at_url(stored(panel.where(F.col("is_founder_or_owner_with_url")), "founders"))
     events = founders.where(F.col("unique_member_count").between(*fx.STRICT_COFOUNDER_RANGE))
     repeated = _people_per(events, "company_name", "member_id", "people").where(
         F.col("people") > fx.REPETITIVE_NAME_FOUNDERS

@@ -2,21 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careerloom.functions import fixed_values as fx
 from careerloom.operators.education import bachelors_flag, categorise_major, clean_major
-from careerloom.operators.relational import Skew, columns_like, enrich, in_keys, keep_first, measure_skew, rename, sample_n
+from careerloom.operators.relational import (
+    Skew,
+    broadcast_by_size,
+    columns_like,
+    enrich,
+    flag_in_keys,
+    in_keys,
+    keep_first,
+    measure_skew,
+    rename,
+    sample_candidates,
+    sample_n,
+)
 from careerloom.operators.titles import work_role_flags
-from careerloom.session import stored_by
+from careerloom.session import stored, stored_by
+
+
+#: Member ids that are sent to every task, at most: about 100 MB.
+MEMBERS = 4_000_000
 
 
 def restrict_experience(exp: DataFrame, edu: DataFrame) -> DataFrame:
     """Experience of members with an education record, one row per id."""
-    return keep_first(in_keys(exp, edu, "member_id"), "id")
+    return keep_first(of_members(exp, edu, "member_id"), "id")
+
+
+def ids_within_members(exp: DataFrame, edu: DataFrame) -> DataFrame:
+    """Experience of members with an education record, stored; rows that share an id share their member.
+
+    ``restrict_experience`` without its last step inside a member, which
+    ``first_of_id`` does where the member's rows are together anyway.  Only ids
+    and members are moved to look for ids of several members; the first row of
+    those ids is chosen here.
+    """
+    kept = stored(of_members(exp, edu, "member_id"), "members-experience")
+    ends = kept.groupBy("id").agg(F.min("member_id").alias("_least"), F.max("member_id").alias("_most"))
+    crossing = stored(ends.where("_least <> _most").select("id"), "crossing-ids")
+    if crossing.isEmpty():
+        return kept
+    if not broadcast_by_size(crossing):
+        return stored(keep_first(kept, "id"), "base-experience")
+    marked = flag_in_keys(kept, crossing, "id", "_crosses").withColumn("_crosses", F.col("_crosses") | F.col("id").isNull())
+    inside, across = (marked.where(F.col("_crosses") == crosses).select(*kept.columns) for crosses in (False, True))
+    return stored(inside.unionByName(keep_first(across, "id")), "base-experience")
+
+
+def first_of_id(jobs: DataFrame) -> DataFrame:
+    """First row per id of rows whose ids stay within a member."""
+    return keep_first(jobs, ["member_id", "id"])
+
+
+def of_members(df: DataFrame, members: DataFrame, on: str) -> DataFrame:
+    """Rows whose member is in the other table: the member ids go to every task while they are at most ``MEMBERS``."""
+    known = stored(members.select(on).where(F.col(on).isNotNull()).distinct(), "members")
+    if known.count() > MEMBERS:
+        return in_keys(df, known, on)
+    return df.join(F.broadcast(known), on, "left_semi").select(*df.columns)
 
 
 def _renamed(df: DataFrame, other: DataFrame, suffix: str) -> DataFrame:
@@ -31,7 +80,9 @@ def _of_hot_members(jobs: DataFrame, degrees: DataFrame, pieces: int) -> DataFra
     return cut.join(every, ["member_id", "_piece"]).drop("_piece")
 
 
-def join_experience_education(exp: DataFrame, edu: DataFrame, skew: Skew | None = None) -> DataFrame:
+def join_experience_education(
+    exp: DataFrame, edu: DataFrame, skew: Skew | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Every job of a member beside every degree, repeats on nine columns dropped.
 
     The nine columns split into five of the job and four of the degree, so the
@@ -41,23 +92,25 @@ def join_experience_education(exp: DataFrame, edu: DataFrame, skew: Skew | None
     shuffle a side, and none for dropping repeats or joining.  Members that
     hold more than a small share of the jobs (``skew``; measured if not given)
     stay out of the buckets: their repeats are dropped by all key columns, and
-    their jobs are cut into pieces.
+    their jobs are cut into pieces.  ``prepare`` makes the jobs of stored rows,
+    so that only what it starts from is moved; it may look at one member's rows
+    at a time.
     """
-    jobs, degrees = _renamed(exp, edu, "_experience"), _renamed(edu, exp, "_education")
-    job_keys, degree_keys = (
-        [k for k in keys if k in side.columns] for keys, side in zip(fx.JOB_EDUCATION_KEYS, (jobs, degrees))
-    )
     known = F.col("member_id").isNotNull()
-    skew = skew or measure_skew(jobs.where(known), "member_id")
+    skew = skew or measure_skew(exp.where(known), "member_id")
     hot = F.col("member_id").isin(*skew.values)
-    first_job, first_degree = (
-        keep_first(stored_by(side.where(known & ~hot), "member_id", name), keys)
-        for side, keys, name in ((jobs, job_keys, "jobs"), (degrees, degree_keys, "degrees"))
+    ready = prepare or (lambda rows: rows)
+    dealt = ready(stored_by(exp.where(known & ~hot), "member_id", "jobs"))
+    jobs, degrees = _renamed(dealt, edu, "_experience"), _renamed(edu, dealt, "_education")
+    job_keys, degree_keys = (
+        [k for k in keys if k in side.columns] for keys, side in zip(fx.JOB_EDUCATION_KEYS, (jobs, degrees))
     )
-    joined = first_job.join(first_degree, "member_id")
+    first_degree = keep_first(stored_by(degrees.where(known & ~hot), "member_id", "degrees"), degree_keys)
+    joined = keep_first(jobs, job_keys).join(first_degree, "member_id")
     if not skew.found:
         return joined
-    hot_jobs, hot_degrees = keep_first(jobs.where(hot), job_keys), keep_first(degrees.where(hot), degree_keys)
+    hot_jobs = keep_first(_renamed(ready(exp.where(hot)), edu, "_experience"), job_keys)
+    hot_degrees = keep_first(degrees.where(hot), degree_keys)
     return joined.unionByName(_of_hot_members(hot_jobs, hot_degrees, skew.pieces))
 
 
@@ -84,10 +137,13 @@ def time_window_flags(panel: DataFrame, cols: Sequence[str], years: Sequence[int
     return panel.withColumns({f"{c}_{name}": F.col(c) & test for c in cols for name, test in tests.items()})
 
 
-def job_level(exp: DataFrame, edu: DataFrame, years: Sequence[int] = fx.WINDOW_YEARS, skew: Skew | None = None) -> DataFrame:
+def job_level(
+    exp: DataFrame, edu: DataFrame, years: Sequence[int] = fx.WINDOW_YEARS, skew: Skew | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Job x degree rows with work roles and window flags."""
-    joined = work_role_flags(join_experience_education(exp, edu, skew))
-    return time_window_flags(joined, flag_columns(joined, exp), years)
+    joined = work_role_flags(join_experience_education(exp, edu, skew, prepare))
+    return time_window_flags(joined, flag_columns(joined, prepare(exp) if prepare else exp), years)
 
 
 def collapse_to_person(panel: DataFrame) -> DataFrame:
@@ -131,8 +187,16 @@ def add_gender_probability(person: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def verification_sample(exp: DataFrame, person: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:
-    """n with-URL founder rows and n other rows beside their panel row, for human review."""
-    joined = enrich(exp, person.withColumn("member_id", F.col("linkedin_member_id")), "member_id", how="inner")
+    """n with-URL founder rows and n other rows beside their panel row, for human review.
+
+    Every job of a member of the panel gives a row or more, so the first n jobs
+    of a kind hold its first n rows: only those few meet the panel.
+    """
+    people = person.withColumn("member_id", F.col("linkedin_member_id"))
+    jobs = of_members(exp, people, "member_id")
+    founder = F.col("is_founder_or_owner_with_url")
+    near = [sample_candidates(jobs.where(kind), n, "id", seed) for kind in (founder, ~founder)]
+    joined = stored(near[0].unionByName(near[1]), "candidates").join(people, "member_id")
     majors = [c for c in person.columns if "major" in c and c != "university_major_raw"]
     cols = ["id", "title", "company_name", "company_url", "linkedin_member_id", "university_title",
             "university_major_raw", "is_founder_or_owner_with_url", *majors]

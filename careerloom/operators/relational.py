@@ -287,20 +287,27 @@ def hash_bucket(key: Column | str, buckets: int) -> Column:
     return F.pmod(F.conv(F.substr(F.md5(k.cast("string")), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(buckets))
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement (T6).  The limit is the operator.
+def sample_candidates(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """The rows that ``sample_n`` puts in order: its n rows and few more.
 
     Rows are first counted by the leading digits of their order value, at most
     16 ** CUT_DIGITS counts; the digits at which n rows are reached cut off all
-    later rows, so the tasks send little more than n rows to the final top-n,
-    not n rows each.
+    later rows.
     """
-    rest = [F.asc(c) for c in df.columns]
     digits = F.coalesce(F.substring(seeded(key, seed), 1, CUT_DIGITS), F.lit(""))
     counts = df.select(digits.alias("_digits")).groupBy("_digits").agg(F.count("*").alias("_n"))
     reached = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_digits"))).where(F.col("_upto") >= n)
     cut = F.coalesce(reached.agg(F.min("_digits")).scalar(), F.lit("g"))
-    return df.where(digits <= cut).orderBy(seeded(key, seed), *rest).limit(n)
+    return df.where(digits <= cut)
+
+
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows without replacement (T6).  The limit is the operator.
+
+    The tasks send little more than n rows to the final top-n, not n rows each.
+    """
+    rest = [F.asc(c) for c in df.columns]
+    return sample_candidates(df, n, key, seed).orderBy(seeded(key, seed), *rest).limit(n)
 
 
 def two_samples(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

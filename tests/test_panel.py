@@ -157,3 +157,34 @@ def test_one_row_group_is_dealt_out_however_many_splits_it_has(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_ids_are_told_apart_inside_members_and_across_them(spark):
+    data = [(1, 7, "b", "u"), (1, 7, "a", "u"), (1, 7, "a", "u"), (2, 8, "a", "u"), (2, 7, "b", "u"), (2, 9, "a", None), (3, 9, "a", "u"),
+            (4, 6, "a", "u"), (4, 8, "c", "u"), (4, None, "a", "u"), (None, 7, "a", "u"), (None, 8, "a", "u"), (5, 8, None, "u")]
+    exp = spark.createDataFrame(data, "id long, member_id long, title string, company_url string")
+    edu = spark.createDataFrame([(7,), (7,), (8,), (9,), (None,)], "member_id long")
+    inside = exp.where("id in (1, 3, 5)")
+    for jobs in (exp, inside):
+        want = rows(panel.restrict_experience(jobs, edu))
+        assert rows(panel.first_of_id(panel.ids_within_members(jobs, edu))) == want and len({r[0] for r in want}) == len(want)
+    limit = panel.MEMBERS
+    try:
+        panel.MEMBERS = 1
+        assert rows(panel.restrict_experience(exp, edu)) == rows(panel.first_of_id(panel.ids_within_members(exp, edu)))
+    finally:
+        panel.MEMBERS = limit
+
+
+def test_review_sample_is_that_of_all_rows(spark):
+    exp = spark.createDataFrame(
+        [(i, i % 40, f"t{i}", None, "u", i % 3 == 0) for i in range(300)],
+        "id long, member_id long, title string, company_name string, company_url string, is_founder_or_owner_with_url boolean")
+    person = spark.createDataFrame([(m, f"s{k}", k) for m in range(30) for k in range(2)], "linkedin_member_id long, university_title string, major_math int")
+    joined = exp.join(person.withColumn("member_id", F.col("linkedin_member_id")), "member_id")
+    for n in (5, 1000):
+        got = rows(panel.verification_sample(exp, person, n))
+        kinds = [panel.sample_n(joined.select(
+            "id", "title", "company_name", "company_url", "linkedin_member_id", "university_title", "is_founder_or_owner_with_url", "major_math"
+        ).where(F.col("is_founder_or_owner_with_url") == kind), n, "id") for kind in (True, False)]
+        assert got == rows(kinds[0].unionByName(kinds[1]))
