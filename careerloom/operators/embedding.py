@@ -23,7 +23,7 @@ from careerloom.operators.relational import enrich, hash_bucket, not_in_keys, sa
 from careerloom.session import stored
 
 #: Characters of names that one task embeds, at most and at least, and (name, word) pairs it multiplies at a time.
-BLOCK_CHARS, LEAST_CHARS, PAIRS = 1 << 25, 1 << 18, 1 << 15
+BLOCK_CHARS, LEAST_CHARS, PAIRS = 1 << 24, 1 << 18, 1 << 15
 #: Partial sums added by one task, and Newton steps (halved ones included) after which a model is taken as it is.
 FAN_IN, MOST_STEPS = 64, 100
 
@@ -37,14 +37,14 @@ def _mean_vectors(key: str, size: int):
         code = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(sizes)), sizes)[code >= 0]
         code = code[code >= 0]
-        dense = words.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+        dense = words.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
         pair, count = np.unique(row * max(1, len(known)) + code, return_counts=True)
         row_of, word_of = np.divmod(pair, max(1, len(known)))
         total = np.zeros((len(sizes), size))
         for lo in range(0, len(pair), PAIRS):
             part = slice(lo, lo + PAIRS)
             starts = np.flatnonzero(np.diff(row_of[part], prepend=-1))
-            total[row_of[part][starts]] += np.add.reduceat(dense[word_of[part]] * count[part, None], starts)
+            total[row_of[part][starts]] += np.add.reduceat(dense[word_of[part]].astype(np.float64) * count[part, None], starts)
         mean = total / np.maximum(np.bincount(row, minlength=len(sizes)), 1)[:, None]
         vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * size), pa.array(mean.ravel()))
         return pa.table([names.column(key), vectors], [key, "embedding"])

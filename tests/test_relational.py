@@ -1,6 +1,7 @@
 """Null, duplicate and skew rules."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,13 @@ def test_first_k_beyond_the_group_limit(spark):
     for r in got.collect():
         have.setdefault(r.label, set()).add(r.id)
     assert have == {k: set(v[:5000]) for k, v in want.items()} and len(have["a"]) == len(have["b"]) == 5000 and len(have[None]) == 3000
+
+
+def test_long_texts_are_embedded_in_blocks_of_bounded_size(spark):
+    from careerloom.operators import embedding
+
+    names = spark.range(1024).select("id", F.repeat(F.lit("x" * 65_535 + " "), 4).alias("text"))
+    vocab = spark.createDataFrame([("x", [1.0, 2.0])], "word string, vec array<double>")
+    plan = embedding.embed_names(names, vocab, "text", 2, key="id")._jdf.queryExecution().optimizedPlan().toString()
+    blocks = int(re.search(r"pmod\(xxhash64\([^)]*\), (\d+)\)", plan).group(1))
+    assert blocks * 17_000_000 >= 1024 * 4 * 65_536
