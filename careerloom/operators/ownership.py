@@ -113,7 +113,8 @@ def employee_before_founder_filter(exp: DataFrame) -> DataFrame:
     """Void the founder flags of companies where someone worked before the first founder.
 
     The first years come from one map-side combined aggregate; a window would
-    bring every row of a company into one task.
+    bring every row of a company into one task.  ``enrich`` stores
+    them, so rows only move where that table is large.
     """
     out = broad_founder_flag(exp).withColumn(
         "founder_job_from", F.when(F.col("is_founder_or_owner"), F.col("job_from"))

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from careerloom.session import stored
+
 #: A key with more than this share of the rows is hot.
 HOT_SHARE = 1 / 256
 #: Keys the frequency sketch reports, and counters it keeps: with 8192 counters
@@ -151,15 +153,19 @@ def enrich(df: DataFrame, dim: DataFrame, on: str, how: str = "left", skew: Skew
     """Add the columns of ``dim`` to every row of ``df`` by key.
 
     When Spark is going to broadcast ``dim`` by its size, or the key is not
-    skewed, this is the plain join.  Otherwise the rows of hot keys and
+    skewed, this is the plain join.  A ``dim`` that Spark expects to be larger
+    is stored first, as an aggregate may have far fewer rows than Spark
+    expects: measuring the keys means one more run of all that ``df`` is made
+    of, and a join without broadcast moves every row.  Otherwise the rows of hot keys and
     the rows without a key carry a piece number taken from the input
     partition, which a retried task gives again, and the hot rows of ``dim``
     are repeated once per piece.
     """
     dim = dim.where(F.col(on).isNotNull())
-    if skew is None:
+    if skew is None and not broadcast_by_size(dim):
+        dim = stored(dim, "lookup")
         skew = Skew() if broadcast_by_size(dim) else measure_skew(df, on)
-    if not skew.found:
+    if not skew or not skew.found:
         return df.join(dim, on, how)
     hot = F.col(on).isin(*skew.values) if skew.values else F.lit(False)
     piece = F.pmod(F.spark_partition_id(), F.lit(skew.pieces))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerloom.functions import fixed_values as fx
-from careerloom.functions.text import has, has_any, remove_in_order, strip, year_in
+from careerloom.functions.text import has, has_any, remove_in_order, says, strip, year_in
 from careerloom.operators.relational import rename
 
 
@@ -55,13 +55,16 @@ def founder_owner_flags(exp: DataFrame, with_long_title: bool = False) -> DataFr
 
 
 def broad_founder_flag(exp: DataFrame, name: str = "ih_is_founder_or_owner") -> DataFrame:
-    """Simple keyword rule: entrepreneur, founder, owner, with or without co- (C20)."""
-    return exp.withColumn(name, has("title", fx.BROAD_FOUNDER))
+    """Simple keyword rule: entrepreneur, founder, owner, with or without co- (C20).
+
+    ``fx.BROAD_FOUNDER`` without its optional parts, which decide nothing.
+    """
+    return exp.withColumn(name, says("title", "entrepreneur", "founder", "owner"))
 
 
 def work_role_flags(df: DataFrame, title: str = "title_experience") -> DataFrame:
     """Engineer and sales keywords in the job title."""
-    return df.withColumns({"worked_as_engineer": has(title, "engineer"), "worked_in_sales": has(title, "sales")})
+    return df.withColumns({"worked_as_engineer": says(title, "engineer"), "worked_in_sales": says(title, "sales")})
 
 
 def founder_events_raw(exp: DataFrame) -> DataFrame:

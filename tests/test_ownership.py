@@ -2,7 +2,8 @@
 
 import pytest
 
-from careerloom.operators import companies, ownership
+from careerloom.operators import companies, ownership, relational
+from careerloom.session import scratch_path
 from conftest import rows
 
 SCHEMA = ("member_id long, company_name string, company_url string, is_founder_only boolean, is_owner_only boolean, "
@@ -54,6 +55,27 @@ def test_employee_before_founder(spark):
     assert all(r.flt_company_employee_start_year is None for r in null_name)
 
 
+def test_first_years_are_looked_up_by_their_measured_size(spark, monkeypatch):
+    """An aggregate that Spark expects to be large, but is small, neither costs a sketch of the keys nor moves the rows."""
+    def measured(*_, **__):
+        raise AssertionError("the keys were measured")
+
+    monkeypatch.setattr(relational, "measure_skew", measured)
+    spark.range(200_000).selectExpr(
+        "id as member_id", "'Firm ' || id % 5 as company_name", "'u' as company_url", "id % 2 = 0 as is_founder_only",
+        "false as is_owner_only", "cast(2000 + id % 7 as int) as job_from", "'Founder' as title", "id % 2 = 0 as is_founder_or_owner",
+    ).write.mode("overwrite").parquet(path := scratch_path(spark, "careers"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        out = ownership.employee_before_founder_filter(spark.read.parquet(path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert rows(out.groupBy("flt_company_employee_start_year", "flt_company_founder_start_year").count()) == [(2000, 2000, 200_000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_strict_events_by_name_and_with_the_published_slip(spark):
     data = [(u * 10 + i, "Same", f"u{u}", True, False, 2000, "Founder") for u in range(6) for i in range(2)]
     data += [(900 + i, "Other", "o", True, False, 2000 + 5 * i, "Founder") for i in range(2)]

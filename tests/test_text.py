@@ -102,3 +102,10 @@ def test_sorted_parts(spark):
 def test_start_anchor_covers_the_whole_alternation(spark):
     assert column(spark, ["xb", "b", "a", None], tx.starts("s", ["a", "b"])) == [False, True, True, False]
     assert column(spark, [None], F.expr("s") .isNull()) == [True]
+
+
+def test_says_is_has_for_a_choice_of_words(spark):
+    values = [None, "", "CO-FOUNDER", "coowner", "Homeowner", "Entrepreneur", "ceo", "engİneer", "own er", "FOUNDKER"]
+    old = tx.has("s", fx.BROAD_FOUNDER)
+    assert column(spark, values, tx.says("s", "entrepreneur", "founder", "owner")) == column(spark, values, old)
+    assert column(spark, [None, "March 1999", "19", "x20015y2002"], tx.year_in("s")) == [None, 1999, None, 2001]
