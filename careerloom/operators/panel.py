@@ -31,8 +31,14 @@ MEMBERS = 4_000_000
 
 
 def restrict_experience(exp: DataFrame, edu: DataFrame) -> DataFrame:
-    """Experience of members with an education record, one row per id."""
-    return keep_first(of_members(exp, edu, "member_id"), "id")
+    """Experience of members with an education record, one row per id.
+
+    Only ids are moved to look for those of several rows, whose first row is
+    chosen then; all other rows stay where they are.
+    """
+    kept = stored(of_members(exp, edu, "member_id"), "members-experience")
+    counts = kept.groupBy("id").agg(F.count("*").alias("_n"))
+    return _first_of(kept, stored(counts.where("_n > 1").select("id"), "repeated-ids"))
 
 
 def ids_within_members(exp: DataFrame, edu: DataFrame) -> DataFrame:
@@ -46,13 +52,19 @@ def ids_within_members(exp: DataFrame, edu: DataFrame) -> DataFrame:
     kept = stored(of_members(exp, edu, "member_id"), "members-experience")
     ends = kept.groupBy("id").agg(F.min("member_id").alias("_least"), F.max("member_id").alias("_most"))
     crossing = stored(ends.where("_least <> _most").select("id"), "crossing-ids")
-    if crossing.isEmpty():
+    chosen = _first_of(kept, crossing)
+    return kept if chosen is kept else stored(chosen, "base-experience")
+
+
+def _first_of(kept: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows, but of the listed ids, and of rows without an id if any is listed, the first one only."""
+    if ids.isEmpty():
         return kept
-    if not broadcast_by_size(crossing):
-        return stored(keep_first(kept, "id"), "base-experience")
-    marked = flag_in_keys(kept, crossing, "id", "_crosses").withColumn("_crosses", F.col("_crosses") | F.col("id").isNull())
-    inside, across = (marked.where(F.col("_crosses") == crosses).select(*kept.columns) for crosses in (False, True))
-    return stored(inside.unionByName(keep_first(across, "id")), "base-experience")
+    if not broadcast_by_size(ids):
+        return keep_first(kept, "id")
+    marked = flag_in_keys(kept, ids, "id", "_listed").withColumn("_listed", F.col("_listed") | F.col("id").isNull())
+    others, listed = (marked.where(F.col("_listed") == is_in).select(*kept.columns) for is_in in (False, True))
+    return others.unionByName(keep_first(listed, "id"))
 
 
 def first_of_id(jobs: DataFrame) -> DataFrame:
@@ -124,17 +136,21 @@ def time_window_flags(panel: DataFrame, cols: Sequence[str], years: Sequence[int
     """``<flag>_<n>_years_o`` and ``_p``.
 
     ``_o``: the job began within n years of graduation.  ``_p``: the same with
-    the founding year of the company page, where it is known.  A job without a
-    start counts as outside; a degree without an end year leaves a set flag null.
+    the founding year of the company page, where it is known; without a column
+    of these years there is no ``_p``.  A job without a start counts as outside;
+    a degree without an end year leaves a set flag null.
     """
-    started = F.col("job_from")
-    page = F.coalesce(F.col("company_page_founded_year"), started)
+    starts = {"o": F.col("job_from")}
+    if "company_page_founded_year" in panel.columns:
+        starts["p"] = F.coalesce("company_page_founded_year", "job_from")
     tests = {
         f"{n}_years_{kind}": F.when(year.isNull(), F.lit(False)).otherwise(year <= F.col("year_to") + n)
         for n in years
-        for kind, year in (("o", started), ("p", page))
+        for kind, year in starts.items()
     }
-    return panel.withColumns({f"{c}_{name}": F.col(c) & test for c in cols for name, test in tests.items()})
+    held = panel.withColumns({f"_{name}": test for name, test in tests.items()})
+    flags = {f"{c}_{name}": F.col(c) & F.col(f"_{name}") for c in cols for name in tests}
+    return held.withColumns(flags).drop(*[f"_{name}" for name in tests])
 
 
 def job_level(

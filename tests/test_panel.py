@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from careerloom.functions import fixed_values as fx
-from careerloom.operators import education, panel
+from careerloom.operators import companies, education, panel
 from careerloom.operators.relational import Skew, measure_skew
 from careerloom.plans import catalogue
 from conftest import rows
@@ -176,6 +176,28 @@ def test_ids_are_told_apart_inside_members_and_across_them(spark):
         panel.MEMBERS = limit
 
 
+def test_rows_of_single_ids_are_not_moved(spark, monkeypatch):
+    def moved(*_, **__):
+        raise AssertionError("all rows were moved")
+
+    monkeypatch.setattr(panel, "keep_first", moved)
+    exp = spark.createDataFrame([(1, 7, "a"), (2, 7, "a"), (None, 8, "b"), (3, 9, "a")], "id long, member_id long, title string")
+    edu = spark.createDataFrame([(7,), (8,)], "member_id long")
+    assert rows(panel.restrict_experience(exp, edu)) == sorted([(1, 7, "a"), (2, 7, "a"), (None, 8, "b")], key=repr)
+
+
+def test_outcomes_need_no_founding_years(spark, sf, monkeypatch):
+    def looked_up(*_, **__):
+        raise AssertionError("years were looked up")
+
+    person = panel.collapse_to_person(catalogue.career_jobs(spark, sf))
+    flags = [f"is_founder_or_owner_{n}_years_o" for n in (3, 5, 10)]
+    want = person.groupBy("unitid", "year_end_college").agg(F.count("*"), *[F.round(F.avg(F.col(c).cast("int")), 6) for c in flags])
+    want = rows(want)
+    monkeypatch.setattr(companies, "founding_years", looked_up)
+    assert rows(catalogue.school_outcomes(spark, sf)) == want
+
+
 def test_review_sample_is_that_of_all_rows(spark):
     exp = spark.createDataFrame(
         [(i, i % 40, f"t{i}", None, "u", i % 3 == 0) for i in range(300)],
