@@ -1,7 +1,7 @@
 """The staged build: every stage reads what the stage before stored.
 
-Within a stage everything is one lazy plan; the stored tables are the only
-places where a plan is cut.
+Within a stage the operators build lazy plans; a table that several of them
+read is stored beside the stages' own.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from careerloom.operators.ownership import (
 )
 from careerloom.operators.panel import collapse_to_person, job_level, restrict_experience, with_majors
 from careerloom.operators.titles import dated, founder_owner_flags
+from careerloom.session import stored
 from careerloom.sources.readers import exists, snapshot
 
 Tables = dict[str, DataFrame]
@@ -41,8 +42,9 @@ def _analysis_files(t: Tables) -> Tables:
 
 
 def _flags(t: Tables) -> Tables:
-    flagged = cofounder_flags(franchise_flags(founder_owner_flags(dated(t["experience_base"]))))
-    return {"experience_flagged": merge_company_scores(shrink(flagged), t.get("company_scores"))}
+    # stored, as the company counts, the URL counts and the rows themselves are read from it
+    titled = stored(shrink(founder_owner_flags(dated(t["experience_base"]))), "titled")
+    return {"experience_flagged": merge_company_scores(cofounder_flags(franchise_flags(titled)), t.get("company_scores"))}
 
 
 def _founding(t: Tables) -> Tables:
@@ -98,8 +100,8 @@ def run(
         paths = {m: f"{root}/{m}" for m in stage.makes}
         if i < first or (not redo and all(exists(spark, p) for p in paths.values())):
             continue
-        stored = {m: snapshot(spark, f"{root}/{m}") for s in STAGES[:i] for m in s.makes if exists(spark, f"{root}/{m}")}
-        for name, table in stage.make({**sources, **stored, "_host": host, "_suffix": generic_suffix}).items():
+        done = {m: snapshot(spark, f"{root}/{m}") for s in STAGES[:i] for m in s.makes if exists(spark, f"{root}/{m}")}
+        for name, table in stage.make({**sources, **done, "_host": host, "_suffix": generic_suffix}).items():
             table.write.mode("overwrite").parquet(paths[name])
         ran.append(stage.name)
     return ran
