@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import math
+import tempfile
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -18,62 +20,213 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerloom.functions.ranks import running_totals
-from careerloom.functions.text import tokens
-from careerloom.operators.relational import enrich, hash_bucket, not_in_keys, sample_n
+from careerloom.operators.relational import Skew, enrich, hash_bucket, not_in_keys, sample_n, union_all
 from careerloom.session import stored
 
-#: Characters of names that one task embeds, at most and at least, and (name, word) pairs it multiplies at a time.
-BLOCK_CHARS, LEAST_CHARS, PAIRS = 1 << 24, 1 << 18, 1 << 15
+#: Characters of names multiplied at a time, that share one set of word vectors, and that are worth a task.
+BLOCK_CHARS, GROUP_CHARS, LEAST_CHARS = 1 << 22, 1 << 28, 1 << 18
+#: Bytes of text whose words are told apart at a time; names and (name, word) pairs multiplied at a time; bytes of word vectors
+#: that a task holds in memory, before it goes on in a file.
+PART_BYTES, NAMES, PAIRS, VECTOR_BYTES = 1 << 24, 1 << 16, 1 << 15, 1 << 27
 #: Partial sums added by one task, and Newton steps (halved ones included) after which a model is taken as it is.
 FAN_IN, MOST_STEPS = 64, 100
-
-
-def _mean_vectors(key: str, size: int):
-    """Sparse counts times dense vectors, for the names and the words of one block."""
-    def multiply(names: pa.Table, words: pa.Table) -> pa.Table:
-        lists = names.column("words").combine_chunks()
-        sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64)
-        known = words.column("word").combine_chunks()
-        code = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy().astype(np.int64)
-        row = np.repeat(np.arange(len(sizes)), sizes)[code >= 0]
-        code = code[code >= 0]
-        dense = words.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-        pair, count = np.unique(row * max(1, len(known)) + code, return_counts=True)
-        row_of, word_of = np.divmod(pair, max(1, len(known)))
-        total = np.zeros((len(sizes), size))
+#: What a row brings to its group of names, in the order in which the group's task reads them.
+VECTOR, WORD, NAME = 0, 1, 2
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``text.tokens`` (X6) on a batch: all tokens in one array, empty ones included, and the text that each is of."""
+    lists = pc.ascii_split_whitespace(texts)
+    return np.repeat(np.arange(len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``PART_BYTES`` of text, or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _words_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of a part of a batch with the groups that have it: a bit for each, 64 groups to a slot."""
+    for batch in (part for whole in batches for part in _cut(whole)):
+        row, token = _tokens(batch.column("_text"))
+        coded = token.dictionary_encode()
+        group = batch.column("_group").to_numpy()
+        wide = 64 * (int(group.max(initial=0)) // 64 + 1)
+        pairs = coded.indices.to_numpy().astype(np.int64)
+        pairs *= wide
+        pairs += group[row]
+        place, bit = np.divmod(np.unique(pairs), 64)
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        bits = np.bitwise_or.reduceat(np.uint64(1) << bit.astype(np.uint64), starts) if len(place) else np.zeros(0, np.uint64)
+        word, slot = np.divmod(place[starts], wide // 64)
+        words = coded.dictionary.take(pa.array(word))
+        yield pa.RecordBatch.from_arrays([words, pa.array(slot, pa.int32()), pa.array(bits.view(np.int64))], ["word", "_slot", "_bits"]).filter(pc.not_equal(words, ""))
+
+
+def every_word(names: DataFrame, name: str) -> DataFrame:
+    """The distinct tokens of all names."""
+    rows = names.where(F.col(name).isNotNull()).select(F.lit(0).alias("_group"), F.col(name).cast("string").alias("_text"))
+    return rows.mapInArrow(_words_of_batch, "word string, _slot int, _bits long").select("word").distinct()
+
+
+class _Vectors:
+    """Vectors of one group of names, appended batch by batch: up to ``VECTOR_BYTES`` in memory, then in a file that ends with its task."""
+
+    def __init__(self, size: int):
+        self.size, self.file, self.bytes, self.kind = size, io.BytesIO(), 0, np.dtype(np.float32)
+
+    def add(self, vectors: pa.Array) -> None:
+        dense = pc.fill_null(vectors.flatten(), 0).to_numpy(zero_copy_only=False)
+        if len(dense) != len(vectors) * self.size:
+            raise ValueError(f"a word vector has not {self.size} numbers")
+        self.kind = dense.dtype
+        self.bytes += dense.nbytes
+        if self.bytes > VECTOR_BYTES and isinstance(self.file, io.BytesIO):
+            held, self.file = self.file, tempfile.TemporaryFile()
+            self.file.write(held.getbuffer())
+        self.file.write(np.ascontiguousarray(dense).data)
+
+    def matrix(self) -> np.ndarray:
+        if not self.bytes:
+            return np.zeros((0, self.size))
+        if isinstance(self.file, io.BytesIO):
+            return np.frombuffer(self.file.getbuffer(), self.kind).reshape(-1, self.size)
+        self.file.flush()
+        return np.memmap(self.file, self.kind, "r").reshape(-1, self.size)
+
+
+def _copied(values: pa.Array) -> pa.Array:
+    """A copy: a part of a batch would keep the whole batch in memory."""
+    return values.take(pa.array(np.arange(len(values))))
+
+
+class _Group:
+    """What one group of names has brought so far: vectors and their ids, words and the ids of their vectors, names to multiply."""
+
+    def __init__(self, size: int):
+        self.size, self.vectors, self.ids, self.words, self.of, self.names = size, _Vectors(size), [], [], [], []
+        self.dense = None
+
+    def add(self, kind: int, rows: pa.RecordBatch) -> None:
+        if kind == NAME:
+            self.names.append(rows.select(["_key", "_text"]))
+        elif kind == VECTOR:
+            self.vectors.add(rows.column("vec"))
+            self.ids.append(_copied(rows.column("_id")))
+        else:
+            self.words.append(_copied(rows.column("_text")))
+            self.of.append(_copied(rows.column("_id")))
+
+    def _settle(self) -> None:
+        """The vectors as a matrix, and for each word the row that holds its vector, or -1."""
+        self.dense, ids = self.vectors.matrix(), pa.concat_arrays(self.ids) if self.ids else None
+        if ids is None or not self.of:  # no vector, or each word is the id of its own
+            self.words, self.at = ids, np.arange(len(self.dense), dtype=np.int32)
+        else:
+            self.at = pc.fill_null(pc.index_in(pa.concat_arrays(self.of), value_set=ids), -1).to_numpy()
+            self.words = pa.concat_arrays(self.words)
+        self.ids = self.of = None
+
+    def product(self) -> Iterator[pa.RecordBatch]:
+        """Means of the block of names added last: sparse counts times dense vectors."""
+        if not self.names:
+            return
+        names, self.names = pa.Table.from_batches(self.names).combine_chunks(), []
+        if self.dense is None:
+            self._settle()
+        size, dense = self.size, self.dense
+        row, token = _tokens(names.column("_text").chunk(0))
+        code = np.full(len(row), -1, np.int64)
+        if self.words is not None and len(token):
+            coded = token.dictionary_encode()
+            found = pc.index_in(self.words, value_set=coded.dictionary)  # the block's words are far fewer than the group's
+            here = found.is_valid().to_numpy(zero_copy_only=False)
+            place = np.full(len(coded.dictionary), -1, np.int64)
+            place[found.drop_null().to_numpy()] = self.at[here]
+            code = place[coded.indices.to_numpy()]
+        row, code = row[code >= 0], code[code >= 0]
+        pair, count = np.unique(row * np.int64(max(1, len(dense))) + code, return_counts=True)
+        row_of, vector_of = np.divmod(pair, max(1, len(dense)))
+        total = np.zeros((len(names), size))
         for lo in range(0, len(pair), PAIRS):
             part = slice(lo, lo + PAIRS)
             starts = np.flatnonzero(np.diff(row_of[part], prepend=-1))
-            total[row_of[part][starts]] += np.add.reduceat(dense[word_of[part]].astype(np.float64) * count[part, None], starts)
-        mean = total / np.maximum(np.bincount(row, minlength=len(sizes)), 1)[:, None]
-        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * size), pa.array(mean.ravel()))
-        return pa.table([names.column(key), vectors], [key, "embedding"])
+            total[row_of[part][starts]] += np.add.reduceat(dense[vector_of[part]].astype(np.float64) * count[part, None], starts)
+        mean = total / np.maximum(np.bincount(row, minlength=len(names)), 1)[:, None]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * size), pa.array(mean.ravel()))
+        yield from pa.table([names.column("_key"), vectors], ["_key", "embedding"]).to_batches()
+
+
+def _mean_vectors(size: int):
+    """Means for rows sorted by group, kind and block: a group's vectors and words are kept, its names pass by in blocks."""
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = _Group(size), None
+        for batch in batches:
+            place = batch.column("_order").to_numpy()
+            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else []
+            for lo, hi in zip(starts, [*starts[1:], len(place)]):
+                here = int(place[lo])
+                if here != at:
+                    yield from group.product()
+                    group, at = group if at is not None and here >> 34 == at >> 34 else _Group(size), here
+                group.add(here >> 32 & 3, batch.slice(lo, hi - lo))
+                if sum(part.num_rows for part in group.names) >= NAMES:
+                    yield from group.product()
+        yield from group.product()
 
     return multiply
 
 
-def embed_names(names: DataFrame, vocab: DataFrame, name: str, size: int, key: str | None = None) -> DataFrame:
+def embed_names(names: DataFrame, vocab: DataFrame, name: str, size: int, key: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Mean of the word vectors of each distinct name; zeros when no word is known (M1).
 
-    ``vocab`` has ``word`` and ``vec`` of ``size`` numbers.  Words are matched
-    as written.  Names are dealt into blocks of about ``BLOCK_CHARS``
-    characters.  A word's vector goes to a block once, however often the block
-    has the word, and a block's means are one product of its word counts with
-    its vectors.  ``key`` is a unique id to carry in place of a long text.
+    ``vocab`` has ``word`` and ``vec`` of ``size`` numbers, or ``word`` and
+    ``vec_id``, the row of ``vectors`` (``vec_id`` and ``vec``) that holds the
+    word's vector.  Words are matched as written; a word without a row there is
+    unknown, a null vector or number counts as 0.  Names are dealt into blocks of about ``BLOCK_CHARS`` characters,
+    and blocks into groups of about ``GROUP_CHARS``.  A vector goes to a group
+    once, however often the group has its words; the blocks of a group then
+    pass by its vectors one after the other, and a block's means are one
+    product of its word counts with them.  ``key`` is a unique id to carry in
+    place of a long text.
     """
     rows = names.where(F.col(name).isNotNull())
     rows = rows.select(key, name) if key else rows.select(name).distinct()
     key = key or name
     total = rows.agg(F.sum(F.length(name))).first()[0] or 0
     tasks = 2 * names.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, total // BLOCK_CHARS, min(tasks, total // LEAST_CHARS))
-    placed = rows.select(key, tokens(name).alias("words"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    used = placed.select(F.col("block").alias("of_block"), F.explode("words").alias("word")).distinct()
-    found = enrich(used, vocab.select("word", "vec"), "word", how="inner")
+    groups = max(1, total // GROUP_CHARS, min(tasks, total // LEAST_CHARS))
+    blocks = groups * max(1, math.ceil(total / (groups * BLOCK_CHARS)))
+    block = F.pmod(F.xxhash64(*dict.fromkeys([key, name])), F.lit(blocks)).cast("int")
+    placed = rows.select(F.col(key).alias("_key"), F.col(name).cast("string").alias("_text"), block.alias("_block")).withColumn("_group", F.col("_block") % groups)
+    worded = placed.select("_group", "_text").mapInArrow(_words_of_batch, "word string, _slot int, _bits long")
+    used = worded.repartition("word").groupBy("word", "_slot").agg(F.bit_or("_bits").alias("_bits"))
+    # a word has one row per slot, and a vector too: none is hot
+    group = F.expr(f"explode(filter(sequence(64 * _slot, least(64 * _slot + 63, {groups - 1})), g -> bit_get(_bits, g % 64) = 1))").alias("_group")
+    if vectors is None:
+        parts = [enrich(used, vocab.select("word", "vec"), "word", how="inner", skew=Skew()).select(group, F.lit(VECTOR).alias("_kind"), F.col("word").alias("_id"), "vec")]
+    else:
+        found = stored(enrich(used, vocab.where("vec_id is not null").select("word", "vec_id"), "word", how="inner", skew=Skew()), "words")
+        wanted = found.groupBy("vec_id", "_slot").agg(F.bit_or("_bits").alias("_bits"))
+        brought = enrich(wanted, vectors.select("vec_id", "vec"), "vec_id", how="inner", skew=Skew())
+        parts = [
+            brought.select(group, F.lit(VECTOR).alias("_kind"), F.col("vec_id").alias("_id"), "vec"),
+            found.select(group, F.lit(WORD).alias("_kind"), F.col("vec_id").alias("_id"), F.col("word").alias("_text")),
+        ]
+    zeros = F.array_repeat(F.lit(0.0), size).cast(parts[0].schema["vec"].dataType)
+    parts = [parts[0].withColumn("vec", F.coalesce("vec", zeros)), *parts[1:], placed.withColumn("_kind", F.lit(NAME))]
+    order = F.shiftleft(F.col("_kind").cast("long"), 32) + F.coalesce("_block", F.lit(0))  # one number, sorted without comparing rows
+    together = union_all(*parts).withColumn("_order", F.shiftleft(F.col("_group").cast("long"), 34) + order).drop("_block", "_kind")
+    # for each row, Spark goes back over the null lists at the end of its batch
+    together = together.withColumn("vec", F.coalesce("vec", F.array().cast(together.schema["vec"].dataType)))
     kind = rows.schema[key].dataType.simpleString()
-    return placed.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(
-        _mean_vectors(key, size), f"`{key}` {kind}, embedding array<double>"
-    )
+    dealt = together.repartitionById(groups, "_group").sortWithinPartitions("_order").drop("_group")
+    return dealt.mapInArrow(_mean_vectors(size), f"_key {kind}, embedding array<double>").withColumnRenamed("_key", key)
 
 
 def l2_normalised(vec: Column | str) -> Column:

@@ -145,3 +145,63 @@ def test_long_texts_are_embedded_in_blocks_of_bounded_size(spark):
     plan = embedding.embed_names(names, vocab, "text", 2, key="id")._jdf.queryExecution().optimizedPlan().toString()
     blocks = int(re.search(r"pmod\(xxhash64\([^)]*\), (\d+)\)", plan).group(1))
     assert blocks * 17_000_000 >= 1024 * 4 * 65_536
+
+
+def _brute_means(names, vectors, size):
+    """(key, mean of the vectors of the words that have one, nulls as 0) for every row of ``names``."""
+    out = []
+    for key, text in names:
+        known = [vectors[w] for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w in vectors]
+        out.append((key, [sum((v or [0] * size)[i] or 0 for v in known) / len(known) if known else 0.0 for i in range(size)]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_vectors_go_to_groups_of_blocks(spark, monkeypatch, shared):
+    """More than 64 groups, several blocks to a group, keys that repeat or are null, words and ids without a vector, null vectors and numbers."""
+    from careerloom.operators import embedding
+
+    monkeypatch.setattr(embedding, "GROUP_CHARS", 64)
+    monkeypatch.setattr(embedding, "BLOCK_CHARS", 16)
+    names = [(i % 190 if i % 7 else None, f"w{i % 23} w{i % 23}\tw{i % 5}\x0bé{i % 3}  x y\n" * (i % 4)) for i in range(300)]
+    ids = {f"w{i}": i % 4 for i in range(23)} | {"é0": 9, "é1": None, "x y": 3}
+    table = {0: [1.0, 2.0], 1: [0.5, None], 2: None, 3: [4.0, 0.25]}
+    of_word = {w: table[i] for w, i in ids.items() if i in table}
+    docs = spark.createDataFrame(names + [(1, None)], "id int, text string")
+    if shared:
+        vocab = spark.createDataFrame(list(ids.items()), "word string, vec_id int")
+        vectors = spark.createDataFrame([*table.items(), (3, table[3])], "vec_id int, vec array<float>")
+    else:
+        vocab, vectors = spark.createDataFrame([*of_word.items(), (None, [7.0, 7.0])], "word string, vec array<double>"), None
+    got = embedding.embed_names(docs, vocab, "text", 2, key="id", vectors=vectors)
+    assert got.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] > 63
+    have, want = sorted(((r.id, list(r.embedding)) for r in got.collect()), key=repr), _brute_means(names, of_word, 2)
+    assert [k for k, _ in have] == [k for k, _ in want]
+    assert all(abs(a - b) < 1e-9 for (_, x), (_, y) in zip(have, want) for a, b in zip(x, y))
+
+
+def test_word_vectors_are_not_stored_for_each_word(spark, sf):
+    from pathlib import Path
+
+    from careerloom.plans.catalogue import QUERIES
+    from careerloom.session import recorded
+
+    with recorded() as paths:
+        out = QUERIES["name_embedding"](spark, sf)
+    words = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("explode(split(text, '\\\\s+')) AS w").distinct().count()
+    assert out.count() == 64 * spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").count()
+    assert sum(p.stat().st_size for path in paths for p in Path(path).rglob("*.parquet")) < words * 64
+
+
+def test_vectors_beyond_memory_lie_in_a_file(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from careerloom.operators import embedding
+
+    monkeypatch.setattr(embedding, "VECTOR_BYTES", 100)
+    held = embedding._Vectors(3)
+    rows = np.arange(60, dtype=np.float32).reshape(20, 3)
+    for lo in range(0, 20, 4):
+        held.add(pa.array(rows.tolist(), pa.list_(pa.float32())).slice(lo, 4))
+    assert isinstance(held.matrix(), np.memmap) and (held.matrix() == rows).all()
